@@ -23,7 +23,7 @@ def parse_time_strict(df: DataFrame, col: str = "timestamp") -> DataFrame:
 
 def _lenient_int(c: Column) -> Column:
     # numeric text (also "7.5", " 7 ") → truncated int; anything else → 0
-    return F.coalesce(F.try_cast(c, "double").cast("int"), F.lit(0))
+    return F.coalesce(c.try_cast("double").cast("int"), F.lit(0))
 
 
 def parse_time_tolerant(df: DataFrame, col: str = "timestamp") -> DataFrame:

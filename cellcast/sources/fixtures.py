@@ -29,8 +29,10 @@ def _digit(pos):
     return F.substr(F.lit(ALPHABET), pos + 1, F.lit(1))
 
 
-def demand_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+def demand_observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Observation rows from ``events`` (read from ``sf_dir`` unless a scan is passed)."""
+    ev = events if events is not None else read_table(spark, sf_dir, "events")
+    ev = ev.select("event_id", "ts", "user_id", "event_type", "value")
     uid, eid = F.col("user_id"), F.col("event_id")
     u50 = F.floor(uid / 50).cast("int")
     u10 = F.floor(uid / 10).cast("int")
