@@ -45,3 +45,39 @@ def clip_sql(expr: str, lo: float | None = None, hi: float | None = None) -> str
     if lo is not None:
         out = f"greatest({float(lo)!r}, {out})"
     return f"(CASE WHEN ({expr}) IS NULL THEN NULL ELSE {out} END)"
+
+
+GEO_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash_xy_ctes(cells: str) -> list[str]:
+    """CTEs ``gx(geohash, L, lonb, latb, x, y)`` for the distinct cells of CTE ``cells``."""
+    a = GEO_ALPHABET
+    return [
+        f"gc AS (SELECT geohash, CAST(length(geohash) AS INTEGER) AS L, "
+        f"list_transform(string_split(geohash, ''), lambda c: CAST(instr('{a}', c) - 1 AS BIGINT)) AS codes "
+        f"FROM (SELECT DISTINCT geohash FROM {cells} WHERE geohash IS NOT NULL))",
+        "gx AS (SELECT geohash, L, CAST(ceil(5 * L / 2.0) AS INTEGER) AS lonb, "
+        "CAST(floor(5 * L / 2.0) AS INTEGER) AS latb, "
+        "list_reduce(list_transform(range(0, 5 * L, 2), lambda k: (codes[k // 5 + 1] >> CAST(4 - k % 5 AS BIGINT)) & 1), "
+        "lambda a, b: a * 2 + b) AS x, "
+        "list_reduce(list_transform(range(1, 5 * L, 2), lambda k: (codes[k // 5 + 1] >> CAST(4 - k % 5 AS BIGINT)) & 1), "
+        "lambda a, b: a * 2 + b) AS y FROM gc)",
+    ]
+
+
+def geohash_neighbor_ctes(cells: str) -> list[str]:
+    """CTEs ending in ``nb(geohash, direction, neighbor)`` for the cells of CTE ``cells``."""
+    a = GEO_ALPHABET
+    return geohash_xy_ctes(cells) + [
+        "gm AS (SELECT geohash, L, lonb, latb, d.direction, "
+        "((x + d.dx) % (CAST(1 AS BIGINT) << lonb) + (CAST(1 AS BIGINT) << lonb)) % (CAST(1 AS BIGINT) << lonb) AS nx, "
+        "y + d.dy AS ny FROM gx CROSS JOIN (VALUES ('top', 0, 1), ('bottom', 0, -1), ('left', -1, 0), "
+        "('right', 1, 0), ('top_left', -1, 1), ('top_right', 1, 1), ('bottom_left', -1, -1), "
+        "('bottom_right', 1, -1)) d(direction, dx, dy))",
+        f"nb AS (SELECT geohash, direction, array_to_string(list_transform(range(L), lambda i: substr('{a}', "
+        "CAST(1 + list_sum(list_transform(range(5), lambda b: (CASE WHEN (i * 5 + b) % 2 = 0 "
+        "THEN (nx >> CAST(lonb - 1 - (i * 5 + b) // 2 AS BIGINT)) & 1 "
+        "ELSE (ny >> CAST(latb - 1 - (i * 5 + b) // 2 AS BIGINT)) & 1 END) << CAST(4 - b AS BIGINT))) AS INTEGER), 1)), '') "
+        "AS neighbor FROM gm WHERE ny >= 0 AND ny < (CAST(1 AS BIGINT) << latb))",
+    ]
