@@ -76,3 +76,84 @@ def cascade_additive(spark, sf_dir):
 def cascade_multiplicative(spark, sf_dir):
     return _memo(spark, sf_dir).select("Index", F.col("level_mult").alias("level"), "scale",
                                        F.col("pred_mult").alias("demand"))
+
+
+# --- calibration operators on their own (D1–D4) ---------------------------------------------
+from cellcast.operators.calibration import (global_baselines, global_offset_scale, pair_stats,  # noqa: E402
+                                            plain_scale, shrunk_offset, shrunk_scale)
+
+# pairs on (cell, slot) against the whole reference day; baseline = reference hours <= 2
+TRAIN_CTES = [
+    "pr AS (SELECT c.geohash, c.demand AS d_cal, r.demand AS d_ref FROM cal c JOIN ref r ON c.geohash = r.geohash AND c.t = r.t)",
+    "cs AS (SELECT geohash, count(d_ref) AS n, avg(d_ref) AS m_ref, avg(d_cal) AS m_cal FROM pr GROUP BY geohash)",
+    "gs AS (SELECT (SELECT avg(demand) FROM ref WHERE hour <= 2) AS g_ref, (SELECT avg(demand) FROM cal) AS g_cal)",
+    "cells AS (SELECT DISTINCT geohash FROM tgt)",
+]
+
+
+def _shrunk_sql(k):
+    return (f"(n * (m_cal - m_ref) + {float(k)!r} * (g_cal - g_ref)) / "
+            f"CASE WHEN n + {float(k)!r} <> 0 THEN n + {float(k)!r} END")
+
+
+@query("calibrate_additive", sql=rounded(with_roles(*TRAIN_CTES) + f"""
+SELECT cells.geohash, coalesce({_shrunk_sql(0)}, gs.g_cal - gs.g_ref) AS offset_k0,
+       coalesce({_shrunk_sql(2)}, gs.g_cal - gs.g_ref) AS offset_k2
+FROM cells LEFT JOIN cs ON cs.geohash = cells.geohash CROSS JOIN gs""", ["offset_k0", "offset_k2"]))
+def calibrate_additive(spark, sf_dir):
+    """Per target cell: shrunk additive offset for k = 0 and k = 2 (global offset where no pair)."""
+    r = roles(spark, sf_dir)
+    stats = pair_stats(r.cal, r.ref)
+    g = global_offset_scale(global_baselines(r.ref, r.cal, "hours"))
+    cells = r.tgt.select("geohash").distinct()
+    k0 = shrunk_offset(stats, g, 0.0).withColumnRenamed("offset", "_k0")
+    k2 = shrunk_offset(stats, g, 2.0).withColumnRenamed("offset", "_k2")
+    return (cells.join(k0, ["geohash"], "left").join(k2, ["geohash"], "left")
+            .crossJoin(F.broadcast(g.select("global_offset")))
+            .select("geohash", F.coalesce("_k0", "global_offset").alias("offset_k0"),
+                    F.coalesce("_k2", "global_offset").alias("offset_k2")))
+
+
+def _scale_sql(k, lo, hi):
+    num = f"(n * m_cal + {float(k)!r} * g_cal)"
+    den = f"(n * m_ref + {float(k)!r} * g_ref)"
+    return clip_sql(f"CASE WHEN {den} <> 0 THEN {num} / {den} WHEN {num} > 0 THEN {float(hi)!r} "
+                    f"WHEN {num} < 0 THEN {float(lo)!r} END", lo, hi)
+
+
+@query("calibrate_multiplicative", sql=rounded(with_roles(*TRAIN_CTES) + f"""
+SELECT cells.geohash, coalesce({_scale_sql(1, 0.1, 10.0)},
+  CASE WHEN g_ref > 0 THEN {clip_sql('g_cal / g_ref', 0.5, 3.0)} ELSE 1.0 END) AS scale
+FROM cells LEFT JOIN cs ON cs.geohash = cells.geohash CROSS JOIN gs""", ["scale"]))
+def calibrate_multiplicative(spark, sf_dir):
+    """Per target cell: k=1 shrunk scale clipped to [0.1, 10]; global ``clip(g_cal/g_ref, .5, 3)``."""
+    r = roles(spark, sf_dir)
+    g = global_offset_scale(global_baselines(r.ref, r.cal, "hours"), 0.5, 3.0)
+    sc = shrunk_scale(pair_stats(r.cal, r.ref), g, 1.0, 0.1, 10.0)
+    return (r.tgt.select("geohash").distinct().join(sc, ["geohash"], "left")
+            .crossJoin(F.broadcast(g.select("global_scale")))
+            .select("geohash", F.coalesce("scale", "global_scale").alias("scale")))
+
+
+@query("scale_unsmoothed", sql=rounded(with_roles(*TRAIN_CTES) + f"""
+SELECT geohash, CASE WHEN m_ref <> 0 THEN {clip_sql('m_cal / m_ref', 0.1, 10.0)} END AS scale FROM cs""", ["scale"]))
+def scale_unsmoothed(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    return plain_scale(pair_stats(r.cal, r.ref), 0.1, 10.0)
+
+
+@query("global_offset_scale", sql=rounded(with_roles() + """
+, b AS (SELECT 'hours' AS baseline, (SELECT avg(demand) FROM ref WHERE hour <= 2) AS g_ref
+        UNION ALL SELECT 'overlap', (SELECT avg(demand) FROM ref WHERE t IN (SELECT t FROM cal))
+        UNION ALL SELECT 'all', (SELECT avg(demand) FROM ref))
+SELECT baseline, g_ref, (SELECT avg(demand) FROM cal) AS g_cal, (SELECT avg(demand) FROM cal) - g_ref AS global_offset,
+       CASE WHEN g_ref > 0 THEN """ + clip_sql("(SELECT avg(demand) FROM cal) / g_ref", 0.5, 3.0) + """ ELSE 1.0 END AS global_scale
+FROM b""", ["g_ref", "g_cal", "global_offset", "global_scale"]))
+def global_offset_scale_q(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    out = None
+    for b in ("hours", "overlap", "all"):
+        part = global_offset_scale(global_baselines(r.ref, r.cal, b), 0.5, 3.0).select(
+            F.lit(b).alias("baseline"), "g_ref", "g_cal", "global_offset", "global_scale")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1 +1,213 @@
-"""Registered queries."""
+"""Scalar feature functions and feature tables."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from cellcast.functions.timekeys import with_cyclical, with_time_flags
+from cellcast.operators import features as FT
+from cellcast.plans.common import roles
+from cellcast.plans.q_calibration import LOOKUP_CTES
+from cellcast.plans.q_lookups import NEIGHBOR_SQL
+from cellcast.plans.registry import query
+from cellcast.plans.sqlparts import clip_sql, geohash_xy_ctes, rounded, with_roles
+
+TWO_PI = f"(2 * pi())"
+
+
+@query("cyclical_features", sql=rounded(with_roles() + f"""
+SELECT row_id, sin({TWO_PI} * hour / 24.0) AS hour_sin, cos({TWO_PI} * hour / 24.0) AS hour_cos,
+  sin({TWO_PI} * minute / 60.0) AS minute_sin, cos({TWO_PI} * minute / 60.0) AS minute_cos,
+  sin({TWO_PI} * t / 1440.0) AS t_sin, cos({TWO_PI} * t / 1440.0) AS t_cos,
+  sin({TWO_PI} * day / 7.0) AS day_sin, cos({TWO_PI} * day / 7.0) AS day_cos FROM p""",
+    ["hour_sin", "hour_cos", "minute_sin", "minute_cos", "t_sin", "t_cos", "day_sin", "day_cos"]))
+def cyclical_features(spark, sf_dir):
+    o = with_cyclical(roles(spark, sf_dir).obs)
+    return o.select("row_id", "hour_sin", "hour_cos", "minute_sin", "minute_cos", "t_sin", "t_cos", "day_sin", "day_cos")
+
+
+@query("time_flags", sql=with_roles() + """
+SELECT row_id, CAST(hour <= 5 AS INTEGER) AS is_early_morning, CAST(hour IN (7, 8, 9, 17, 18, 19) AS INTEGER) AS is_rush_hour,
+       CAST(hour IN (10, 11, 12, 13) AS INTEGER) AS is_midday FROM p""")
+def time_flags(spark, sf_dir):
+    return with_time_flags(roles(spark, sf_dir).obs).select("row_id", "is_early_morning", "is_rush_hour", "is_midday")
+
+
+TRAIN_COUNT = ("cnt AS (SELECT geohash, count(*) AS c FROM (SELECT geohash FROM ref UNION ALL SELECT geohash FROM cal) "
+               "GROUP BY geohash)")
+
+
+@query("log_frequency", sql=rounded(with_roles(TRAIN_COUNT) + """
+SELECT tgt."Index", ln(1 + coalesce(cnt.c, 0)) AS geohash_count FROM tgt LEFT JOIN cnt ON cnt.geohash = tgt.geohash""",
+                                    ["geohash_count"]))
+def log_frequency(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    train = r.ref.unionByName(r.cal)
+    return FT._with_log_count(r.tgt.select("Index", "geohash"), train).select("Index", "geohash_count")
+
+
+@query("encode_fixed", sql=rounded(with_roles() + """
+SELECT "Index", CASE RoadType WHEN 'Residential' THEN 0.0 WHEN 'Street' THEN 1.0 WHEN 'Highway' THEN 2.0 ELSE -1.0 END AS RoadType_enc,
+  coalesce(CAST(LargeVehicles = 'Allowed' AS DOUBLE), 0.0) AS LargeVehicles_enc,
+  coalesce(CAST(Landmarks = 'Yes' AS DOUBLE), 0.0) AS Landmarks_enc,
+  CASE Weather WHEN 'Sunny' THEN 0.0 WHEN 'Rainy' THEN 1.0 WHEN 'Foggy' THEN 2.0 WHEN 'Snowy' THEN 3.0 ELSE -1.0 END AS Weather_enc
+FROM tgt""", ["RoadType_enc", "LargeVehicles_enc", "Landmarks_enc", "Weather_enc"]))
+def encode_fixed(spark, sf_dir):
+    return FT.encode_fixed(roles(spark, sf_dir).tgt).select("Index", "RoadType_enc", "LargeVehicles_enc",
+                                                           "Landmarks_enc", "Weather_enc")
+
+
+@query("encode_domain", sql=with_roles() + """
+, dom AS (SELECT feature, category, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT feature, category FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce({c}, 'Missing') AS category FROM (SELECT {c} FROM cal UNION ALL SELECT {c} FROM tgt)"
+    for c in FT.CATEGORIES) + """)))
+SELECT tgt."Index", """ + ", ".join(
+    f"(SELECT code FROM dom WHERE feature = '{c}' AND category = coalesce(tgt.{c}, 'Missing')) AS {c}_code"
+    for c in FT.CATEGORIES) + " FROM tgt")
+def encode_domain(spark, sf_dir):
+    """Alphabetical codes over the union domain of both tables (``Missing`` for NULL).
+
+    The domain (distinct categories, a few rows per feature) is numbered with a
+    window per feature and broadcast back to the rows.
+    """
+    from pyspark.sql import Window
+    r = roles(spark, sf_dir)
+    cats = FT.CATEGORIES
+    both = r.cal.select(*cats).unionByName(r.tgt.select(*cats)).fillna(FT.MISSING, subset=cats)
+    dom = (both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category"))
+                                           for c in cats])).alias("_x")).select("_x.*").distinct())
+    dom = dom.withColumn("code", (F.dense_rank().over(Window.partitionBy("feature").orderBy("category")) - 1).cast("int"))
+    out = r.tgt.select("Index", *cats).fillna(FT.MISSING, subset=cats)
+    for c in cats:
+        d = dom.where(F.col("feature") == c).select(F.col("category").alias(c), F.col("code").alias(f"{c}_code"))
+        out = out.join(F.broadcast(d), [c], "left")
+    return out.select("Index", *[f"{c}_code" for c in cats])
+
+
+@query("standardize", sql=rounded(with_roles() + """
+, sc AS (SELECT avg(Temperature) AS mu, stddev_pop(Temperature) AS sd FROM ref WHERE Temperature IS NOT NULL AND demand IS NOT NULL)
+SELECT "Index", (Temperature - mu) / sd AS temp_z FROM tgt CROSS JOIN sc""", ["temp_z"]))
+def standardize(spark, sf_dir):
+    """z-score with the reference mean and population std (what a fitted scaler stores)."""
+    r = roles(spark, sf_dir)
+    sc = (r.ref.where(F.col("Temperature").isNotNull() & F.col("demand").isNotNull())
+          .agg(F.avg("Temperature").alias("_mu"), F.stddev_pop("Temperature").alias("_sd")))
+    return r.tgt.crossJoin(F.broadcast(sc)).select(
+        "Index", F.try_divide(F.col("Temperature") - F.col("_mu"), F.col("_sd")).alias("temp_z"))
+
+
+# ---- residual feature table (16 numeric + 4 categorical) ------------------------------------------
+RES_CTES = [
+    "pr AS (SELECT c.geohash, c.demand AS d_cal, r.demand AS d_ref FROM cal c JOIN ref r ON c.geohash = r.geohash AND c.t = r.t)",
+    "cs AS (SELECT geohash, count(d_ref) AS n, avg(d_ref) AS m_ref, avg(d_cal) AS m_cal FROM pr GROUP BY geohash)",
+    "gs AS (SELECT (SELECT avg(demand) FROM ref WHERE hour <= 2) AS g_ref, (SELECT avg(demand) FROM cal) AS g_cal)",
+    "offs AS (SELECT geohash, (n * (m_cal - m_ref)) / CASE WHEN n <> 0 THEN n END AS off FROM cs)",
+    TRAIN_COUNT,
+    """rx AS (SELECT tgt.*, ex.v AS e, gh.v AS h, g.v AS gg, p5.v AS a5, p4.v AS a4, ov.v AS o,
+     (SELECT v FROM ex e2 WHERE e2.geohash = tgt.geohash AND e2.t = tgt.t - 15) AS l1,
+     (SELECT v FROM ex e2 WHERE e2.geohash = tgt.geohash AND e2.t = tgt.t + 15) AS l2,
+     (SELECT v FROM ex e2 WHERE e2.geohash = tgt.geohash AND e2.t = tgt.t - 30) AS l3,
+     (SELECT v FROM ex e2 WHERE e2.geohash = tgt.geohash AND e2.t = tgt.t + 30) AS l4,
+     coalesce(offs.off, gs.g_cal - gs.g_ref) AS go, ln(1 + coalesce(cnt.c, 0)) AS geohash_count
+   FROM tgt LEFT JOIN ex ON ex.geohash = tgt.geohash AND ex.t = tgt.t
+   LEFT JOIN gh ON gh.geohash = tgt.geohash AND gh.hour = tgt.hour LEFT JOIN g ON g.geohash = tgt.geohash
+   LEFT JOIN p5 ON p5.k = substr(tgt.geohash, 1, 5) LEFT JOIN p4 ON p4.k = substr(tgt.geohash, 1, 4)
+   LEFT JOIN offs ON offs.geohash = tgt.geohash LEFT JOIN cnt ON cnt.geohash = tgt.geohash CROSS JOIN gs CROSS JOIN ov)""",
+    """rf AS (SELECT "Index", hour, minute, t, NumberofLanes, Temperature,
+     coalesce(e, h, a5, a4, gg, o) + go AS exact_calib, coalesce(h, a5, a4, gg, o) + go AS geo_hour_calib,
+     coalesce(gg, o) + go AS geo_calib, coalesce(a5, a4, gg, o) + go AS prefix5_calib, coalesce(a4, gg, o) + go AS prefix4_calib,
+     coalesce(l1, coalesce(h, a5, a4, gg, o), o) + go AS lag_prev_calib, coalesce(l2, coalesce(h, a5, a4, gg, o), o) + go AS lag_next_calib,
+     coalesce(l3, coalesce(h, a5, a4, gg, o), o) + go AS lag_prev2_calib, coalesce(l4, coalesce(h, a5, a4, gg, o), o) + go AS lag_next2_calib,
+     go AS geo_offset, geohash_count,
+     coalesce(RoadType, 'Missing') AS RoadType, coalesce(LargeVehicles, 'Missing') AS LargeVehicles,
+     coalesce(Landmarks, 'Missing') AS Landmarks, coalesce(Weather, 'Missing') AS Weather, demand FROM rx)""",
+]
+RES_DOUBLES = ["Temperature", "exact_calib", "geo_hour_calib", "geo_calib", "prefix5_calib", "prefix4_calib",
+               "lag_prev_calib", "lag_next_calib", "lag_prev2_calib", "lag_next2_calib", "geo_offset", "geohash_count",
+               "base_pred", "demand"]
+
+
+def residual_table(r):
+    return FT.residual_features(r.ref, r.cal, r.tgt, r.ref.unionByName(r.cal))
+
+
+@query("feature_table_residual", sql=rounded(with_roles(*LOOKUP_CTES, *RES_CTES) + """
+SELECT *, 0.4 * exact_calib + 0.3 * geo_hour_calib + 0.3 * geo_calib AS base_pred FROM rf""", RES_DOUBLES))
+def feature_table_residual(spark, sf_dir):
+    return residual_table(roles(spark, sf_dir))
+
+
+@query("base_prediction", sql=rounded(with_roles(*LOOKUP_CTES, *RES_CTES) + """
+SELECT "Index", 0.4 * exact_calib + 0.3 * geo_hour_calib + 0.3 * geo_calib AS base_pred,
+       0.4 * (exact_calib - geo_offset) + 0.3 * (geo_hour_calib - geo_offset) + 0.3 * (geo_calib - geo_offset) AS base_pred_raw
+FROM rf""", ["base_pred", "base_pred_raw"]))
+def base_prediction(spark, sf_dir):
+    t = residual_table(roles(spark, sf_dir))
+    o = F.col("geo_offset")
+    w = FT.BASE_WEIGHTS
+    raw = w[0] * (F.col("exact_calib") - o) + w[1] * (F.col("geo_hour_calib") - o) + w[2] * (F.col("geo_calib") - o)
+    return t.select("Index", "base_pred", raw.alias("base_pred_raw"))
+
+
+# ---- neighbour feature table (34 columns) -------------------------------------------------------
+NB_DOUBLES = [c for c in FT.NEIGHBOR_FEATURES if c not in ("hour", "minute", "day", "NumberofLanes")] + ["demand"]
+
+
+def _nb_sql():
+    lw_all = """lwa AS (SELECT geohash, t, demand AS v FROM (
+  SELECT geohash, t, demand, row_number() OVER (PARTITION BY geohash, t ORDER BY row_id DESC) AS rn FROM tr) WHERE rn = 1)"""
+    nbm = """nma AS (SELECT k.geohash, k.t, avg(lwa.v) AS m FROM (SELECT DISTINCT geohash, t FROM tgt) k
+  JOIN nb ON nb.geohash = k.geohash JOIN lwa ON lwa.geohash = nb.neighbor AND lwa.t = k.t GROUP BY k.geohash, k.t)"""
+    from cellcast.plans.sqlparts import geohash_neighbor_ctes
+    ctes = ["tr AS (SELECT * FROM ref UNION ALL SELECT * FROM cal)", lw_all, *geohash_neighbor_ctes("tgt"), nbm,
+            "cst AS (SELECT geohash, avg(demand) AS geo_mean, coalesce(stddev_samp(demand), 0.0) AS geo_std, "
+            "median(demand) AS geo_median, max(demand) AS geo_max FROM tr GROUP BY geohash)",
+            "ghm AS (SELECT geohash, hour, avg(demand) AS v FROM tr GROUP BY 1, 2)",
+            "gtm AS (SELECT geohash, t, avg(demand) AS v FROM tr GROUP BY 1, 2)",
+            "g3h AS (SELECT substr(geohash, 1, 3) AS k, hour, avg(demand) AS v FROM tr GROUP BY 1, 2)",
+            "g3 AS (SELECT substr(geohash, 1, 3) AS k, avg(demand) AS v FROM tr GROUP BY 1)",
+            "g4 AS (SELECT substr(geohash, 1, 4) AS k, avg(demand) AS v FROM tr GROUP BY 1)",
+            "g5 AS (SELECT substr(geohash, 1, 5) AS k, avg(demand) AS v FROM tr GROUP BY 1)",
+            "hrm AS (SELECT hour, avg(demand) AS v FROM tr GROUP BY 1)",
+            "g49 AS (SELECT geohash, avg(demand) AS v FROM tr WHERE day = 49 GROUP BY 1)",
+            "am AS (SELECT coalesce(a.geohash, b.geohash) AS geohash, CASE WHEN a.v <> 0 THEN b.v / a.v END AS ratio FROM "
+            "(SELECT geohash, avg(demand) AS v FROM tr WHERE day = 48 AND hour < 4 GROUP BY 1) a FULL OUTER JOIN "
+            "(SELECT geohash, avg(demand) AS v FROM tr WHERE day = 49 AND hour < 4 GROUP BY 1) b ON a.geohash = b.geohash)",
+            ]
+    lags = ",\n  ".join(
+        f"(SELECT v FROM lwa WHERE lwa.geohash = tgt.geohash AND lwa.t = ((tgt.t - {d}) % 1440 + 1440) % 1440) AS raw_{n}"
+        for n, d in (("lag1d", 0), ("lag1d_m15", 15), ("lag1d_m30", 30), ("lag1d_m45", 45), ("lag1d_m60", 60)))
+    body = f"""
+, xy AS (SELECT geohash, -90.0 + (y + 0.5) * 180.0 / pow(2.0, latb) AS lat, -180.0 + (x + 0.5) * 360.0 / pow(2.0, lonb) AS lon FROM gx)
+, nx AS (SELECT tgt.*, xy.lat, xy.lon, {lags},
+  CASE WHEN nma.m <> 0 THEN nma.m END AS neighbor_mean, cst.geo_mean, cst.geo_std, cst.geo_median, cst.geo_max,
+  ghm.v AS geo_hour_mean, gtm.v AS geo_ts_mean, g3h.v AS geo3_hour_mean, g3.v AS geo3_mean, g4.v AS geo4_mean,
+  g5.v AS geo5_mean, hrm.v AS hour_global_mean, g49.v AS geo_d49_mean, am.ratio AS daily_ratio
+  FROM tgt LEFT JOIN xy ON xy.geohash = tgt.geohash LEFT JOIN nma ON nma.geohash = tgt.geohash AND nma.t = tgt.t
+  LEFT JOIN cst ON cst.geohash = tgt.geohash LEFT JOIN ghm ON ghm.geohash = tgt.geohash AND ghm.hour = tgt.hour
+  LEFT JOIN gtm ON gtm.geohash = tgt.geohash AND gtm.t = tgt.t
+  LEFT JOIN g3h ON g3h.k = substr(tgt.geohash, 1, 3) AND g3h.hour = tgt.hour LEFT JOIN g3 ON g3.k = substr(tgt.geohash, 1, 3)
+  LEFT JOIN g4 ON g4.k = substr(tgt.geohash, 1, 4) LEFT JOIN g5 ON g5.k = substr(tgt.geohash, 1, 5)
+  LEFT JOIN hrm ON hrm.hour = tgt.hour LEFT JOIN g49 ON g49.geohash = tgt.geohash LEFT JOIN am ON am.geohash = tgt.geohash)
+SELECT "Index", lat, lon, hour, minute, day, sin({TWO_PI} * t / 1440.0) AS time_sin, cos({TWO_PI} * t / 1440.0) AS time_cos,
+  sin({TWO_PI} * day / 7.0) AS day_sin, cos({TWO_PI} * day / 7.0) AS day_cos,
+  CASE RoadType WHEN 'Residential' THEN 0.0 WHEN 'Street' THEN 1.0 WHEN 'Highway' THEN 2.0 ELSE -1.0 END AS RoadType_enc,
+  NumberofLanes, coalesce(CAST(LargeVehicles = 'Allowed' AS DOUBLE), 0.0) AS LargeVehicles_enc,
+  coalesce(CAST(Landmarks = 'Yes' AS DOUBLE), 0.0) AS Landmarks_enc, Temperature,
+  CASE Weather WHEN 'Sunny' THEN 0.0 WHEN 'Rainy' THEN 1.0 WHEN 'Foggy' THEN 2.0 WHEN 'Snowy' THEN 3.0 ELSE -1.0 END AS Weather_enc,
+  {", ".join(f"coalesce(raw_{n}, neighbor_mean, geo_ts_mean, geo_hour_mean) AS {n}" for n in FT.NEIGHBOR_LAGS.values())},
+  neighbor_mean, geo_mean, geo_std, geo_median, geo_max, geo_hour_mean, geo_ts_mean, geo3_hour_mean, geo3_mean,
+  geo4_mean, geo5_mean, hour_global_mean, geo_d49_mean, daily_ratio, demand FROM nx"""
+    xy = geohash_xy_ctes("tgt")
+    nbc = [c for c in ctes]
+    # gc/gx are defined inside the neighbour CTE list already; reuse them for lat/lon
+    return with_roles(*nbc) + body
+
+
+@query("feature_table_neighbor", sql=rounded(_nb_sql(), NB_DOUBLES))
+def feature_table_neighbor(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    return FT.neighbor_features(r.ref.unionByName(r.cal), r.tgt)
