@@ -211,3 +211,146 @@ SELECT "Index", lat, lon, hour, minute, day, sin({TWO_PI} * t / 1440.0) AS time_
 def feature_table_neighbor(spark, sf_dir):
     r = roles(spark, sf_dir)
     return FT.neighbor_features(r.ref.unionByName(r.cal), r.tgt)
+
+
+# ---- stacking feature table (64 numeric + 8 lags + 4 categorical) ----------------------------------
+STACK_LAGS = [f"d48_lag_-{d}" for d in FT.STACK_LAG_MINUTES] + [f"d48_lag_+{d}" for d in FT.STACK_LAG_MINUTES]
+
+
+def _q(c):
+    return f'"{c}"'
+
+
+def _stack_sql():
+    lag_cols = ",\n  ".join(
+        f"(SELECT v FROM ex e2 WHERE e2.geohash = tgt.geohash AND e2.t = tgt.t + ({'-' if '-' in n else ''}{n.split('_')[-1][1:]})) AS {_q('raw' + n)}"
+        for n in STACK_LAGS)
+    scale = clip_sql("CASE WHEN (n * m_ref + 1.0 * g_ref) <> 0 THEN (n * m_cal + 1.0 * g_cal) / (n * m_ref + 1.0 * g_ref) "
+                     "WHEN (n * m_cal + 1.0 * g_cal) > 0 THEN 10.0 WHEN (n * m_cal + 1.0 * g_cal) < 0 THEN 0.1 END", 0.1, 10.0)
+    ctes = [
+        "spr AS (SELECT c.geohash, c.demand AS d_cal, r.demand AS d_ref FROM cal c JOIN ref r ON c.geohash = r.geohash AND c.t = r.t)",
+        "scs AS (SELECT geohash, count(d_ref) AS n, avg(d_ref) AS m_ref, avg(d_cal) AS m_cal FROM spr GROUP BY geohash)",
+        "sgs AS (SELECT (SELECT avg(demand) FROM ref WHERE hour <= 2) AS g_ref, (SELECT avg(demand) FROM cal) AS g_cal)",
+        f"scal AS (SELECT geohash, (n * (m_cal - m_ref)) / CASE WHEN n <> 0 THEN n END AS off, {scale} AS sc FROM scs CROSS JOIN sgs)",
+        "sglob AS (SELECT g_cal - g_ref AS go, CASE WHEN g_ref > 0 THEN " + clip_sql("g_cal / g_ref", 0.5, 3.0)
+        + " ELSE 1.0 END AS gs FROM sgs)",
+        "ghs AS (SELECT geohash, hour, coalesce(stddev_samp(demand), 0.0) AS v FROM ref GROUP BY 1, 2)",
+        "cst AS (SELECT geohash, coalesce(stddev_samp(demand), 0.0) AS sd, max(demand) AS mx, min(demand) AS mn, "
+        "median(demand) AS md, count(*) AS nobs FROM ref GROUP BY 1)",
+        "p5s AS (SELECT substr(geohash, 1, 5) AS k, coalesce(stddev_samp(demand), 0.0) AS v FROM ref GROUP BY 1)",
+        "p4s AS (SELECT substr(geohash, 1, 4) AS k, coalesce(stddev_samp(demand), 0.0) AS v FROM ref GROUP BY 1)",
+        "hs AS (SELECT hour, avg(demand) AS m, coalesce(stddev_samp(demand), 0.0) AS s, median(demand) AS md FROM ref GROUP BY 1)",
+        "rh AS (SELECT RoadType, hour, avg(demand) AS v FROM ref WHERE RoadType IS NOT NULL GROUP BY 1, 2)",
+        "rr AS (SELECT RoadType, avg(demand) AS v FROM ref WHERE RoadType IS NOT NULL GROUP BY 1)",
+        "wh AS (SELECT Weather, hour, avg(demand) AS v FROM ref WHERE Weather IS NOT NULL GROUP BY 1, 2)",
+        f"tm AS (SELECT coalesce(median(Temperature), {FT.DEFAULT_TEMPERATURE}) AS v FROM tgt)",
+        TRAIN_COUNT,
+        f"""sx AS (SELECT tgt.*, ex.v AS e, gh.v AS h, g.v AS gg, p5.v AS a5, p4.v AS a4, p3.v AS a3, ov.v AS o,
+  ghs.v AS ghsd, cst.sd, cst.mx, cst.mn, cst.md, cst.nobs, p5s.v AS p5sd, p4s.v AS p4sd,
+  hs.m AS hm, hs.s AS hsd, hs.md AS hmd, rh.v AS rhm, rr.v AS rm, wh.v AS whm, tm.v AS tmed,
+  coalesce(scal.off, sglob.go) AS geo_offset, coalesce(scal.sc, sglob.gs) AS geo_scale, ln(1 + coalesce(cnt.c, 0)) AS geohash_count,
+  {lag_cols}
+  FROM tgt LEFT JOIN ex ON ex.geohash = tgt.geohash AND ex.t = tgt.t
+  LEFT JOIN gh ON gh.geohash = tgt.geohash AND gh.hour = tgt.hour LEFT JOIN g ON g.geohash = tgt.geohash
+  LEFT JOIN p5 ON p5.k = substr(tgt.geohash, 1, 5) LEFT JOIN p4 ON p4.k = substr(tgt.geohash, 1, 4)
+  LEFT JOIN p3 ON p3.k = substr(tgt.geohash, 1, 3)
+  LEFT JOIN ghs ON ghs.geohash = tgt.geohash AND ghs.hour = tgt.hour LEFT JOIN cst ON cst.geohash = tgt.geohash
+  LEFT JOIN p5s ON p5s.k = substr(tgt.geohash, 1, 5) LEFT JOIN p4s ON p4s.k = substr(tgt.geohash, 1, 4)
+  LEFT JOIN hs ON hs.hour = tgt.hour LEFT JOIN rh ON rh.RoadType = tgt.RoadType AND rh.hour = tgt.hour
+  LEFT JOIN rr ON rr.RoadType = tgt.RoadType LEFT JOIN wh ON wh.Weather = tgt.Weather AND wh.hour = tgt.hour
+  LEFT JOIN scal ON scal.geohash = tgt.geohash LEFT JOIN cnt ON cnt.geohash = tgt.geohash
+  CROSS JOIN ov CROSS JOIN sglob CROSS JOIN tm)""",
+        f"""sy AS (SELECT "Index", hour, minute, t, NumberofLanes, Temperature AS traw, coalesce(Temperature, tmed) AS Temperature,
+  coalesce(e, h, a5, a4, a3, gg, o) AS d48_exact, coalesce(h, a5, a4, gg, o) AS d48_geo_hour,
+  coalesce(ghsd, 0.0) AS d48_geo_hour_std, coalesce(gg, o) AS d48_geo, coalesce(sd, 0.0) AS d48_geo_std,
+  coalesce(mx, o) AS d48_geo_max, coalesce(mn, o) AS d48_geo_min, coalesce(md, o) AS d48_geo_median,
+  coalesce(a5, a4, gg, o) AS prefix5_mean, coalesce(a4, gg, o) AS prefix4_mean, coalesce(a3, o) AS prefix3_mean,
+  coalesce(p5sd, 0.0) AS prefix5_std, coalesce(p4sd, 0.0) AS prefix4_std, coalesce(CAST(nobs AS DOUBLE), 0.0) AS d48_geo_n_obs,
+  coalesce(hm, o) AS d48_hour_mean, coalesce(hsd, 0.0) AS d48_hour_std, coalesce(hmd, o) AS d48_hour_median,
+  coalesce(rhm, o) AS d48_roadtype_hour_mean, coalesce(rm, o) AS d48_roadtype_mean, coalesce(whm, o) AS d48_weather_hour_mean,
+  geo_offset, geo_scale, geohash_count,
+  {", ".join(f"coalesce({_q('raw' + n)}, coalesce(h, a5, a4, gg, o), o) AS {_q(n)}" for n in STACK_LAGS)},
+  coalesce(RoadType, 'Missing') AS RoadType, coalesce(LargeVehicles, 'Missing') AS LargeVehicles,
+  coalesce(Landmarks, 'Missing') AS Landmarks, coalesce(Weather, 'Missing') AS Weather, demand FROM sx)""",
+    ]
+    neg = [_q(n) for n in STACK_LAGS[:4]]
+    pos = [_q(n) for n in STACK_LAGS[4:]]
+    alll = neg + pos
+    mean_all = f"((0.0 + {' + '.join(alll)}) / 8)"
+    std_all = f"sqrt((0.0 + {' + '.join(f'power({c} - {mean_all}, 2)' for c in alll)}) / 7)"
+    body = f"""
+SELECT "Index", hour, minute, t, NumberofLanes, Temperature,
+  sin({TWO_PI} * hour / 24.0) AS hour_sin, cos({TWO_PI} * hour / 24.0) AS hour_cos,
+  sin({TWO_PI} * minute / 60.0) AS minute_sin, cos({TWO_PI} * minute / 60.0) AS minute_cos,
+  sin({TWO_PI} * t / 1440.0) AS t_sin, cos({TWO_PI} * t / 1440.0) AS t_cos,
+  CAST(hour <= 5 AS INTEGER) AS is_early_morning, CAST(hour IN (7, 8, 9, 17, 18, 19) AS INTEGER) AS is_rush_hour,
+  CAST(hour IN (10, 11, 12, 13) AS INTEGER) AS is_midday,
+  d48_exact, d48_geo_hour, d48_geo_hour_std, d48_geo, d48_geo_std, d48_geo_max, d48_geo_min, d48_geo_median,
+  prefix5_mean, prefix4_mean, prefix3_mean, prefix5_std, prefix4_std, d48_geo_n_obs,
+  d48_hour_mean, d48_hour_std, d48_hour_median, d48_roadtype_hour_mean, d48_roadtype_mean, d48_weather_hour_mean,
+  geo_offset, geo_scale,
+  d48_exact + geo_offset AS exact_add, d48_geo_hour + geo_offset AS geo_hour_add, d48_geo + geo_offset AS geo_add,
+  d48_exact * geo_scale AS exact_mult, d48_geo_hour * geo_scale AS geo_hour_mult, d48_geo * geo_scale AS geo_mult,
+  d48_geo_max - d48_geo_min AS geo_range, d48_geo_std / (d48_geo + 1e-8) AS geo_cv,
+  d48_geo_hour_std / (d48_geo_hour + 1e-8) AS geo_hour_cv,
+  d48_exact - d48_geo AS exact_vs_geo, d48_exact - d48_geo_hour AS exact_vs_geo_hour,
+  d48_geo - d48_hour_mean AS geo_vs_hour_mean, d48_exact - d48_hour_mean AS exact_vs_hour_mean, geohash_count,
+  power(traw, 2) AS temp_sq, abs(traw) AS temp_abs, CAST(traw IS NULL AS INTEGER) AS temp_missing,
+  NumberofLanes * d48_exact AS lanes_x_exact, Temperature * hour AS temp_x_hour,
+  0.4 * (d48_exact + geo_offset) + 0.3 * (d48_geo_hour + geo_offset) + 0.3 * (d48_geo + geo_offset) AS base_pred_add,
+  0.4 * (d48_exact * geo_scale) + 0.3 * (d48_geo_hour * geo_scale) + 0.3 * (d48_geo * geo_scale) AS base_pred_mult,
+  0.4 * d48_exact + 0.3 * d48_geo_hour + 0.3 * d48_geo AS base_pred_raw,
+  0.5 * (0.4 * (d48_exact + geo_offset) + 0.3 * (d48_geo_hour + geo_offset) + 0.3 * (d48_geo + geo_offset))
+    + 0.5 * (0.4 * (d48_exact * geo_scale) + 0.3 * (d48_geo_hour * geo_scale) + 0.3 * (d48_geo * geo_scale)) AS base_pred_blend,
+  {", ".join(alll)}, RoadType, LargeVehicles, Landmarks, Weather, demand,
+  (0.0 + {' + '.join(neg)}) / 4 AS lag_mean_neg, (0.0 + {' + '.join(pos)}) / 4 AS lag_mean_pos,
+  {mean_all} AS lag_mean_all, {std_all} AS lag_std_all,
+  (0.0 + {' + '.join(pos)}) / 4 - (0.0 + {' + '.join(neg)}) / 4 AS lag_trend
+FROM sy"""
+    return with_roles(*LOOKUP_CTES, *ctes) + body
+
+
+STACK_INTS = {"Index", "hour", "minute", "t", "NumberofLanes", "is_early_morning", "is_rush_hour", "is_midday",
+              "temp_missing", "RoadType", "LargeVehicles", "Landmarks", "Weather"}
+
+
+def _stack_doubles():
+    cols = ["Temperature", "hour_sin", "hour_cos", "minute_sin", "minute_cos", "t_sin", "t_cos",
+            "d48_exact", "d48_geo_hour", "d48_geo_hour_std", "d48_geo", "d48_geo_std", "d48_geo_max", "d48_geo_min",
+            "d48_geo_median", "prefix5_mean", "prefix4_mean", "prefix3_mean", "prefix5_std", "prefix4_std",
+            "d48_geo_n_obs", "d48_hour_mean", "d48_hour_std", "d48_hour_median", "d48_roadtype_hour_mean",
+            "d48_roadtype_mean", "d48_weather_hour_mean", "geo_offset", "geo_scale", "exact_add", "geo_hour_add",
+            "geo_add", "exact_mult", "geo_hour_mult", "geo_mult", "geo_range", "geo_cv", "geo_hour_cv", "exact_vs_geo",
+            "exact_vs_geo_hour", "geo_vs_hour_mean", "exact_vs_hour_mean", "geohash_count", "temp_sq", "temp_abs",
+            "lanes_x_exact", "temp_x_hour", "base_pred_add", "base_pred_mult", "base_pred_raw", "base_pred_blend",
+            *STACK_LAGS, "demand", "lag_mean_neg", "lag_mean_pos", "lag_mean_all", "lag_std_all", "lag_trend"]
+    return cols
+
+
+@query("feature_table_stack", sql=rounded(_stack_sql(), _stack_doubles()))
+def feature_table_stack(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    return FT.stack_features(r.ref, r.cal, r.tgt, r.ref.unionByName(r.cal))
+
+
+@query("lag_row_stats", sql=rounded(_stack_sql().replace("\nSELECT \"Index\", hour, minute", "\n, fin AS (SELECT \"Index\", hour, minute", 1)
+                                    + ')\nSELECT "Index", lag_mean_neg, lag_mean_pos, lag_mean_all, lag_std_all, lag_trend FROM fin',
+                                    ["lag_mean_neg", "lag_mean_pos", "lag_mean_all", "lag_std_all", "lag_trend"]))
+def lag_row_stats(spark, sf_dir):
+    """Row-wise mean/std over the eight filled lag columns (sample std)."""
+    return feature_table_stack(spark, sf_dir).select("Index", "lag_mean_neg", "lag_mean_pos", "lag_mean_all",
+                                                     "lag_std_all", "lag_trend")
+
+
+@query("derived_features", sql=rounded(_stack_sql().replace("\nSELECT \"Index\", hour, minute", "\n, fin AS (SELECT \"Index\", hour, minute", 1)
+                                       + ')\nSELECT "Index", geo_range, geo_cv, geo_hour_cv, exact_vs_geo, exact_vs_geo_hour, '
+                                       'geo_vs_hour_mean, exact_vs_hour_mean, temp_sq, temp_abs, temp_missing, lanes_x_exact, '
+                                       'temp_x_hour FROM fin',
+                                       ["geo_range", "geo_cv", "geo_hour_cv", "exact_vs_geo", "exact_vs_geo_hour",
+                                        "geo_vs_hour_mean", "exact_vs_hour_mean", "temp_sq", "temp_abs", "lanes_x_exact",
+                                        "temp_x_hour"]))
+def derived_features(spark, sf_dir):
+    """Ranges, coefficients of variation, contrasts, squares and interactions."""
+    return feature_table_stack(spark, sf_dir).select(
+        "Index", "geo_range", "geo_cv", "geo_hour_cv", "exact_vs_geo", "exact_vs_geo_hour", "geo_vs_hour_mean",
+        "exact_vs_hour_mean", "temp_sq", "temp_abs", "temp_missing", "lanes_x_exact", "temp_x_hour")
