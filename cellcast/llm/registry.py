@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secret_scan", "source_mix", "chat_parts")
+MODULES = ("secret_scan", "token_histogram", "license_scan", "source_mix", "ngram_join", "warc_segments",
+           "decontaminate", "chat_parts", "cap_filters", "language_id")
 
 
 def load() -> dict:

@@ -74,14 +74,14 @@ def _count(spans: str, kind: str):
 
 
 def extract(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
-    """repo, owner, spans: every base span of every whole text."""
+    """repo, owner, key (of the text), spans: every base span of every whole text."""
     d = docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.select("*", *[F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0)).alias(k) for k in KINDS])
     d = d.withColumn("value", F.when(F.size("assign") > 0, F.regexp_extract_all(
         "text", F.lit(PATTERNS["assign"]), F.lit(1))).otherwise(F.col("assign")))
     spans = [_spans(F.col("text"), k, F.col(k), F.col("value" if k == "assign" else k)) for k in KINDS]
-    return d.select("repo", "owner", F.array_sort(F.concat(*spans)).alias("spans"))
+    return d.select("repo", "owner", store.text_key(F.col("text")).alias("key"), F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text",
          min_owners: int = 3) -> DataFrame:
-    """One row per document: repo, owner, spans (base and verdict spans, sorted), n_live, n_copied."""
+    """One row per document: repo, owner, key (128 bits of the text), base, spans (base and verdict spans, sorted), n_live, n_copied."""
     found = store.save(extract(docs, repo, owner, text).withColumn("rid", F.monotonically_increasing_id()), "secrets")
     values = found.select("rid", F.explode("spans").alias("s")).select(
         "rid", "s.vstart", "s.end", "s.hash", "s.random")
@@ -105,11 +105,22 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str
         "kind", "end", "vstart", "hash", "random")).cast(SPAN).alias("added"))
     empty = F.array().cast(SPAN)
     out = found.join(added, "rid", "left").withColumn("added", F.coalesce("added", empty))
-    return out.select("repo", "owner", F.col("spans").alias("base"),
+    return out.select("repo", "owner", "key", F.col("spans").alias("base"),
                       F.array_sort(F.concat("spans", "added")).alias("spans"),
                       *[_count("added", k) for k in ("live", "copied")])
 
 
+def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:
+    """docs (columns doc_id, source, text and any others) without those that hold a live credential."""
+    d, a, b, x, y = store.fresh(docs, "d", "a", "b", "x", "y")
+    live = store.save(scan(docs, min_owners=min_owners).where("n_live > 0").select(
+        F.col("repo").alias(d), F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct(), "secrets-live")
+    key = store.text_key(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumns({x: key["a"], y: key["b"]})
+    same = (F.col(x) == F.col(a)) & (F.col(y) == F.col(b)) & F.col("doc_id").eqNullSafe(F.col(d))
+    return keyed.join(live, same, "left_anti").select(*docs.columns)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(store.table(spark, sf_dir, "documents"))
     return out.select(F.col("repo").alias("doc_id"), *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),

@@ -45,3 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key(text):
     """128 bits that stand for a text in joins: two seeded 64-bit hashes."""
     return F.struct(F.xxhash64(F.lit("a"), text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` does not have (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -1,0 +1,346 @@
+"""Joins, scans, archives and models against brute force on small fixtures."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import tempfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cellcast.llm import (cap_filters, decontaminate, graph, language_id, license_scan, ngram_join, registry, secret_scan, shingles,
+                          source_mix, store, token_histogram, warc_segments)
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, g long, leaks int, score string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "clash", 1, 2, "x") for i, t in rows], DOCS)
+
+
+def vocabulary(seed, n=400):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(r.randint(2, 9))) for _ in range(n)]
+
+
+def prose(r, words, n):
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+def shingle_set(text, k=5):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[i:i + min(k, len(w))]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def linked(keys, near):
+    links, comp = defaultdict(set), {}
+    for a in range(len(keys)):
+        for b in range(a):
+            if near(a, b):
+                links[a].add(b)
+                links[b].add(a)
+    for s in sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0)):
+        todo = [] if s in comp else [s]
+        while todo:
+            x = todo.pop()
+            if x not in comp:
+                comp[x] = keys[s]
+                todo += links[x]
+    return links, comp
+
+
+def near_copies():
+    r, words = random.Random(1), vocabulary(1)
+    rows, texts = [], [prose(r, words, n) for n in (6, 40, 80, 300)]
+    for t in texts:
+        for _ in range(14):
+            w = t.split()
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append(r.choice([" ".join(w), " ".join(w).upper(), ", ".join(w) + "!"]))
+    rows += [None, "", " . ", "one two", "One, two", "x y z " * 5000, "x y z " * 5000 + "w"]
+    return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3])] * 2 + [(None, rows[0]), (None, None)]
+
+
+def test_jaccard(spark):
+    rows = near_copies()
+    got = ngram_join.join(docs(spark, rows).repartition(3)).collect()
+    sets = [shingle_set(t) for _, t in rows]
+    links, comp = linked([i for i, _ in rows], lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    want = sorted((str(rows[i][0]), len(links[i]), str(comp[i])) for i in range(len(rows)))
+    assert sorted((str(x.doc_id), x.n_links, str(x.component_id)) for x in got) == want
+    worded = Counter(x.component_id for x in got if x.kept and x.n_links)
+    assert worded and set(worded.values()) == {1} and sum(x.kept for x in got if not x.n_links) == sum(not links[i] for i in range(len(rows)))
+    one = ngram_join.keep_one(docs(spark, rows))
+    assert one.columns == docs(spark, rows).columns
+    assert Counter(x.kept for x in one.collect()).keys() == {"clash"} and one.count() == len({comp[i] for i in range(len(rows)) if sets[i]}) + 4
+    assert ngram_join.join(docs(spark, [])).count() == 0
+
+
+def test_bands_and_recall():
+    bands, rows = ngram_join.plan_bands(0.8, 0.9995)
+    assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9995 and bands * rows <= 192
+    mults, masks = ngram_join._mults(bands * rows)
+    rng, same = np.random.default_rng(0), []
+    for _ in range(60):
+        x = shingles.mixed(rng.integers(0, 1 << 62, 450, dtype=np.uint64))
+        a, b = ngram_join.minhash(x[:400], mults, masks), ngram_join.minhash(x[50:], mults, masks)
+        same.append((a == b).mean())
+    assert abs(np.mean(same) - 350 / 450) < 0.01
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, 5000), (1200, 7), (8000, 8001)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert all(got[i] == 0 for i in (*range(300), *range(1000, 1201))) and got[8001] == 8000 and 5000 not in got
+
+
+def test_caps(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 24))
+    rows = [(i, v) for i, v in enumerate(base.tolist())]
+    for i in range(60):
+        rows.append((200 + i, (base[i % 6] + rng.standard_normal(24) * 0.3).tolist()))
+    rows += [(300 + i, (base[9] * (1 + i % 2)).tolist()) for i in range(20)]
+    rows += [(400, None), (401, []), (402, [0.0] * 24), (403, [float("nan")] * 24), (404, [None] + [1.0] * 23), (405, base[0].tolist()[:8]),
+             (406, [float("inf")] + [1.0] * 23), (None, base[1].tolist()), (7, base[7].tolist())]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, g string, cid long")
+    got = cap_filters.near_duplicates(df).collect()
+
+    def unit(v):
+        if not v or any(x is None or not np.isfinite(x) for x in v) or not any(v):
+            return None
+        return np.array(v) / np.linalg.norm(v)
+    u = [unit(v) for _, v in rows]
+    links, comp = linked([i for i, _ in rows], lambda a, b: u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and u[a] @ u[b] >= 0.9)
+    want = sorted((str(rows[i][0]), len(links[i]), str(comp[i]), rows[i][0] == comp[i]) for i in range(len(rows)))
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == want
+    assert cap_filters.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_list_decoding_is_exact():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rot, books, cuts = cap_filters.code(12, 3, 6)
+    y = x @ rot
+    full = sum(np.ix_(*([range(6)] * 3))[0] * 0 + (y[:, c] @ b.T).reshape([20] + [6 if j == k else 1 for j in range(3)])
+               for k, (c, b) in enumerate(zip(cuts, books, strict=True)))
+    for r, ids in enumerate(cap_filters.list_decode(x, 12, 3, 6, 1.2)):
+        assert sorted(ids.tolist()) == np.flatnonzero(full[r].ravel() >= 1.2 / np.sqrt(12)).tolist()
+
+
+@pytest.mark.parametrize("n", [500, 50_000, 10 ** 9])
+def test_code_grows_with_the_input(n):
+    blocks, words, bound = cap_filters.plan_code(n, 0.9)
+    assert words <= 192 and words ** blocks > 100 and (1 - 0.5 * (1 + np.math.erf(bound / 2 ** 0.5)) if hasattr(np, "math") else bound > 1)
+
+
+def distance_inside(p, s):
+    row = [0] * (len(s) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(s, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    r, words = random.Random(5), vocabulary(5)
+    items = [(i, prose(r, words, r.randint(12, 30))) for i in range(12)] + [(50, None), (51, ""), (52, "ab"), (53, "zqxj vkwy"), (3, "q" * 30)]
+    rows = []
+    for n in range(60):
+        text = prose(r, words, r.randint(0, 120))
+        if n % 2:
+            p = list(items[n % 12][1])
+            for _ in range(r.choice([0, 1, 4, 9, 30])):
+                p[r.randrange(len(p))] = r.choice(["", "x", "yz"])
+            p = "".join(p)
+            text += ". " + (p.upper() if n % 3 else p.replace(" ", ",\n ")) + " " + prose(r, words, 20)
+        rows.append((n, text))
+    rows += [(100, None), (101, ""), (102, prose(r, words, 20_000) + items[0][1] + " end"), (1, rows[1][1]), (103, items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x.doc_id, x.item_id) for x in decontaminate.leaks(docs(spark, rows), bench).collect())
+    plain = {i: "".join(map(chr, decontaminate.normal(t)[0])) for i, t in rows}
+    want = set()
+    for i, t in items:
+        p = "".join(map(chr, decontaminate.normal(t)[0]))
+        for d, x in plain.items():
+            if len(p) >= decontaminate.Q and len(x) < 5000 and distance_inside(p, x) <= decontaminate.budget(len(p), 0.1):
+                want.add((d, i))
+    want.add((102, 0))
+    assert set(got) == want and got[(1, items[1][0])] >= 2
+    for x in decontaminate.leaks(docs(spark, rows), bench, most=50).where("edits = 0").collect():
+        text = next(t for i, t in rows if i == x.doc_id)[x.start:x.end]
+        assert "".join(map(chr, decontaminate.normal(text)[0])) in {"".join(map(chr, decontaminate.normal(t)[0])) for i, t in items if i == x.item_id}
+    clean = decontaminate.remove(docs(spark, rows), bench)
+    assert sorted(x.doc_id for x in clean.collect()) == sorted(i for i, _ in rows if i not in {d for d, _ in want})
+    assert clean.columns == docs(spark, rows).columns and set(x.leaks for x in clean.collect()) == {2}
+    assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+    assert decontaminate.remove(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_tokens(spark):
+    r, words = random.Random(6), vocabulary(6)
+    texts = [None, "", "a", "<|endoftext|>", "x" * 20_000, prose(r, words, 9_000)] + [prose(r, words, r.randint(1, 60)) for _ in range(60)] + ["same"] * 30
+    hist = token_histogram.histogram(token_histogram.lengths(docs(spark, [(i, t) for i, t in enumerate(texts)])))
+    enc = token_histogram.encoding(token_histogram.VOCABULARY)
+    lens = [len(enc.encode_ordinary(t or "")) for t in texts]
+    rows = hist.collect()
+    assert [(x.n_tokens, x.docs) for x in sorted(rows)] == sorted(Counter(lens).items())
+    for x in rows:
+        n = x.n_tokens
+        assert (x.docs_upto, x.tokens_upto) == (sum(v <= n for v in lens), sum(v for v in lens if v <= n))
+        assert (x.docs_over, x.tokens_over, x.cut_docs) == (sum(v > n for v in lens), sum(v for v in lens if v > n), sum(v > n for v in lens))
+        assert x.kept_tokens == sum(min(v, n) for v in lens) and abs(x.quantile - x.docs_upto / len(lens)) < 1e-12
+    for x in token_histogram.at_limits(hist, [0, 1, 7, 512, 10 ** 6]).collect():
+        assert (x.kept_tokens, x.cut_docs) == (sum(min(v, x.limit) for v in lens), sum(v > x.limit for v in lens))
+    assert token_histogram.histogram(token_histogram.lengths(docs(spark, []))).count() == 0
+
+
+def test_license(spark):
+    long = license_scan.TEMPLATES[3][0].split()
+    texts = [None, "", "CC BY cc by", "Released under the MIT License.", "x\nGNU\n General--Public LICENSE gnu general public license", "apache Ⅻ license",
+             "w " * 30_000 + "apache license", " ".join(long[:12] + ["really"] + long[12:]).upper(), " ".join(long[:8]), "cc by " * 2000, "mit licenses",
+             "éapache license", "This work is licensed under a Creative Commons Attribution 4.0 International License"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[3])]
+    got = license_scan.scan(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    low = str.maketrans(license_scan.UPPER, license_scan.LOWER)
+    for x in got:
+        t = next(t for i, t in rows if i == x.doc_id) or ""
+        w = re.findall(license_scan.WORD, t.translate(low))
+        at = [(i, label) for p, label in license_scan.BASE for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
+        starts = [i for i, _ in at]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word) == (len(w), len(at), min(starts, default=None), max(starts, default=None))
+        assert x.base_labels == ",".join(sorted({label for _, label in at})) and 0 <= x.score <= 1
+        assert set(filter(None, x.base_labels.split(","))) <= set(x.labels.split(","))
+    by = {x.doc_id: x for x in got}
+    assert by[7].labels == "gpl" and by[8].labels == "" and by[12].labels == "cc-by" and by[12].n_base == 0
+    assert license_scan.scan(docs(spark, [])).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    r, words = random.Random(8), vocabulary(8)
+    big = [prose(r, words, n) for n in (300, 900, 20_000)]
+    rows = [(1, "http://a/", None), (2, None, ""), (3, "http://b/\r\nX: y", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n" * 60), (4, "u", "é😀" * 3000), (5, "u", big[0]),
+            (9, "v", big[0]), (7, "w", big[0]), (9, "v", big[0]), (None, "w", big[0]), (10, "u", "short"), (11, "u", "short"), (12, "u", big[2]), (13, "u", "0\r\n\r\n")]
+    pages = spark.createDataFrame([(*x, "clash") for x in rows], "page_id long, url string, html string, origin string")
+    path = str(tmp_path / "archive")
+    warc_segments.write_archive(pages, path)
+    read = warc_segments.read_records(spark, path)
+    assert read.where("type = 'continuation'").count() > 20
+    got = warc_segments.reassemble(read).collect()
+    assert len(got) == len(rows) and all(x.complete for x in got)
+    html = {}
+    for i, _, t in rows:
+        html[i] = (t or "").encode()
+    for x in got:
+        want = "revisit" if len(html[x.page_id]) >= 1000 and html[x.page_id] == html[9] and x.page_id != 9 else "response"
+        assert x.type == want and x.digest == hashlib.sha1(html[x.page_id]).hexdigest() and x.refers == (9 if want == "revisit" else None)
+        assert x.payload == (html[x.page_id] if want == "response" else None)
+    lost = warc_segments.reassemble(read.where("not (page_id = 12 and segment = 3)")).where("page_id = 12").first()
+    assert not lost.complete and lost.payload is None
+    os.makedirs(tmp_path / "in")
+    pages.write.parquet(str(tmp_path / "in" / "pages.parquet"))
+    out = warc_segments.run(spark, str(tmp_path / "in")).collect()
+    assert all(x.payload_bytes == len(html[x.page_id]) for x in out) and len(out) == len(rows)
+    warc_segments.write_archive(pages.limit(0), str(tmp_path / "none"))
+    assert warc_segments.reassemble(warc_segments.read_records(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_chunked_framing():
+    for p in (b"", b"x", b"\r\n0\r\n\r\n" * 999, os.urandom(5000)):
+        assert warc_segments.dechunked(warc_segments.chunked(p)) == p
+    assert warc_segments.dechunked(b"5\r\nabc\r\n0\r\n\r\n") is None and warc_segments.dechunked(b"zz\r\n") is None
+
+
+def languages(n):
+    r, sets = random.Random(9), {lang: vocabulary(i + 20, 150) for i, lang in enumerate(("aa", "bb", "cc"))}
+    return [(i, prose(r, sets[lang], r.randint(4, 60)), lang) for i in range(n) for lang in [r.choice(sorted(sets))]]
+
+
+def test_language(spark):
+    rows = languages(500) + [(900, None, "aa"), (901, "", None), (902, "123 !? 45", "bb"), (903, "😀", "cc"), (904, "x" * 200_000, None)]
+    df = spark.createDataFrame([(i, t, lang, "s", "clash") for i, t, lang in rows], "doc_id long, text string, lang string, source string, score string")
+    model = language_id.train(df)
+    names = ("p", "s", "r")
+    got = {x.doc_id: x for x in language_id.predict(df.withColumn("out", language_id.held_out()), model, names).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
+    held = [(i, lang) for i, _, lang in rows[:500] if got[i].out]
+    assert np.mean([got[i].p == lang for i, lang in held]) > 0.97
+    assert all(got[i].p == "und" and got[i].r and got[i].s == 0 for i in (900, 901, 902, 903)) and got[904].p in ("aa", "bb", "cc")
+    kept = language_id.recognised(df, model)
+    assert kept.columns == df.columns and {x.score for x in kept.collect()} == {"clash"} and kept.count() >= 490
+    # labels of held-out rows, sources and ids do not matter
+    other = df.withColumn("lang", F.when(language_id.held_out(), "zz").otherwise(F.col("lang"))).withColumn("source", F.lit("q"))
+    again = language_id.train(other.repartition(5))
+    assert again["langs"] == model["langs"] and np.allclose(again["table"], model["table"])
+    assert language_id.predict(df, language_id.train(df.limit(0)), names).where("p <> 'und'").count() == 0
+
+
+def test_pipeline_against_plain_python(spark):
+    """Stages 2 to 4 on given documents equal brute force; the last is an exact mix of what they leave."""
+    d = store.table(spark, SF, "documents")
+    rows = d.collect()
+    step = corpus_pipeline.identify_language(spark, d, SF)
+    assert step.columns == d.columns and step.count() == sum(any(c.isalpha() for c in r.text) for r in rows)
+    one = store.save(corpus_pipeline.drop_near_copies(spark, step, SF), "t")
+    sets = [shingle_set(r.text) for r in rows]
+    _, comp = linked([r.doc_id for r in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    left = {r.doc_id: r.text for r in rows if comp[[x.doc_id for x in rows].index(r.doc_id)] == r.doc_id}
+    assert sorted(r.doc_id for r in one.collect()) == sorted(left)
+    clean = store.save(corpus_pipeline.remove_benchmark(spark, one, SF), "t")
+    norm = lambda t: "".join(map(chr, decontaminate.normal(t)[0]))
+    items = [norm(r.text) for r in store.table(spark, SF, "benchmark").collect()]
+    left = {i: t for i, t in left.items() if not any(p in norm(t) for p in items)}
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(left)
+    safe = store.save(corpus_pipeline.remove_secrets(spark, clean, SF), "t")
+    live = {r.repo for r in secret_scan.scan(clean).where("n_live > 0").collect()}
+    assert sorted(r.doc_id for r in safe.collect()) == sorted(set(left) - live) and live
+    mix = corpus_pipeline.mix_sources(spark, safe, SF).collect()
+    assert {r.doc_id for r in mix} <= set(left) - live
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in left.items() if i not in live}
+    assert all(r.taken == r.copies * words[r.doc_id] for r in mix)
+    assert abs(sum(r.taken for r in mix) / sum(words.values()) - 1.5) < 0.1
+    assert sorted(map(tuple, mix)) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+def test_pipeline_edges(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "one two", "en", "a", 7), (2, "one two", "en", "a", 7), (3, "é " * 50_000, None, "b", 1),
+            (4, "only words here", "en", "a", 2)]
+    for some in (rows, []):
+        with tempfile.TemporaryDirectory() as d:
+            spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+            spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+            step = spark.read.parquet(f"{d}/documents.parquet")
+            for name, stage in corpus_pipeline.STAGES:
+                step = store.save(stage(spark, step, d), "edge")
+                assert step.columns == [c.split()[0] for c in schema.split(", ")] or name == "mixing sources"
+            assert {r.doc_id for r in step.collect()} <= {2, 3, 4}
+
+
+def test_queries_and_sql(spark):
+    """Every query gives its columns; those with SQL equal DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, (fn, sql) in registry.load().items():
+        if sql:
+            df = fn(spark, SF)
+            cols = sorted(df.columns)
+            cur = con.execute(sql)
+            names = [c[0] for c in cur.description]
+            want = sorted(str([round(r[names.index(c)], 9) if isinstance(r[names.index(c)], float) else r[names.index(c)] for c in cols]) for r in cur.fetchall())
+            assert sorted(str([round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols]) for r in df.collect()) == want, name
