@@ -46,7 +46,7 @@ TEMPLATES = (
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = 3                # diagonals apart at most within one occurrence
-COVER = 0.7            # share of a template's k-grams in a verified span
+COVER = 0.85           # share of a template's k-grams in a verified span
 MOST_GRAMS = 100_000   # of all templates together, to be broadcast
 BITS = 62              # template places per bit set
 
