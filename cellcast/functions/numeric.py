@@ -13,18 +13,14 @@ def nan_to_null(c: Column) -> Column:
 
 
 def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """``np.clip`` semantics: NULL stays NULL (``least``/``greatest`` alone would skip it)."""
+    """``np.clip`` semantics: a missing value (NULL or NaN) stays missing, as NULL (``least``/``greatest``
+    alone would skip a NULL, and order NaN above every bound)."""
     out = c
     if lo is not None:
         out = F.greatest(out, F.lit(float(lo)))
     if hi is not None:
         out = F.least(out, F.lit(float(hi)))
-    return F.when(c.isNotNull(), out)
-
-
-def safe_ratio(num: Column, den: Column) -> Column:
-    """Ratio with a zero denominator giving NULL (ANSI mode would raise)."""
-    return F.try_divide(num, F.when(den != 0, den))
+    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), out)
 
 
 def round6(c: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MINUTES_PER_DAY = 1440
+# Decimal numbers as text; Java's suffixes (5d, 1f), NaN and Infinity are not numbers here.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def parse_time_strict(df: DataFrame, col: str = "timestamp") -> DataFrame:
@@ -22,8 +24,9 @@ def parse_time_strict(df: DataFrame, col: str = "timestamp") -> DataFrame:
 
 
 def _lenient_int(c: Column) -> Column:
-    # numeric text (also "7.5", " 7 ") → truncated int; anything else → 0
-    return F.coalesce(c.try_cast("double").cast("int"), F.lit(0))
+    # decimal text (also "7.5", " 7 ") → truncated int; anything else, NaN, infinity and overflow → 0
+    text = F.when(c.rlike(NUMBER), c)
+    return F.coalesce(text.try_cast("double").try_cast("int"), F.lit(0))
 
 
 def parse_time_tolerant(df: DataFrame, col: str = "timestamp") -> DataFrame:
@@ -64,14 +67,6 @@ def with_time_flags(df: DataFrame, hour: str = "hour") -> DataFrame:
               .withColumn("is_midday", h.isin(MIDDAY_HOURS).cast("int")))
 
 
-def shifted_minute(t: Column, delta: int, wrap: bool) -> Column:
-    """Minute of day moved by ``delta``; wraps modulo a day or leaves the day (NULL)."""
-    moved = t + F.lit(int(delta))
-    if wrap:
-        return F.pmod(moved, F.lit(MINUTES_PER_DAY))
-    return F.when((moved >= 0) & (moved < MINUTES_PER_DAY), moved)
-
-
 def slot_text(t: Column) -> Column:
     """Unpadded ``H:M`` text for a minute of day."""
     return F.format_string("%d:%d", F.floor(t / 60).cast("int"), F.pmod(t, F.lit(60)))

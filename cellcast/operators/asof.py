@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.functions.numeric import clip
+from cellcast.operators.lookups import Slots
 
 
-def series(ref: DataFrame, cell: str = "geohash", value: str = "demand") -> DataFrame:
+def series(ref: DataFrame | Slots, cell: str = "geohash", value: str = "demand") -> DataFrame:
     """Per-cell ordered series ``(cell, t, v)``: slot means, slots without a value dropped."""
+    if isinstance(ref, Slots):
+        return ref.table.where(F.col(cell).isNotNull() & (F.col("n") > 0)).select(cell, "t", (F.col("s") / F.col("n")).alias("v"))
     return (ref.where(F.col(cell).isNotNull())
             .groupBy(cell, "t").agg(F.avg(value).alias("v"))
             .where(F.col("v").isNotNull()))

@@ -12,17 +12,22 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.numeric import clip
+from cellcast.operators.lookups import Slots, as_slots
 
 # Hour bound of the "hours" baseline and morning bound of the daily ratio.
 BASELINE_LAST_HOUR = 2
 MORNING_HOURS_BEFORE = 4
 
 
-def _slot_moments(df: DataFrame, keys: Sequence[str], value: str, tag: str) -> DataFrame:
+def _slot_moments(df: DataFrame | Slots, keys: Sequence[str], value: str, tag: str) -> DataFrame:
+    if isinstance(df, Slots):
+        return (df.table.where(F.col(keys[0]).isNotNull()).groupBy(*keys)
+                .agg(F.sum("rows").alias(f"{tag}_all"), F.sum("n").alias(f"{tag}_nn"),
+                     F.coalesce(F.sum("s"), F.lit(0.0)).alias(f"{tag}_sum")))
     return (df.where(F.col(keys[0]).isNotNull())
             .groupBy(*keys)
             .agg(F.count(F.lit(1)).alias(f"{tag}_all"),
@@ -30,7 +35,7 @@ def _slot_moments(df: DataFrame, keys: Sequence[str], value: str, tag: str) -> D
                  F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{tag}_sum")))
 
 
-def pair_stats(cal: DataFrame, ref: DataFrame, keys: Sequence[str] = ("geohash", "t"),
+def pair_stats(cal: DataFrame | Slots, ref: DataFrame | Slots, keys: Sequence[str] = ("geohash", "t"),
                cell: str = "geohash", value: str = "demand") -> DataFrame:
     """Per-cell moments of the inner join ``cal ⋈ ref`` on ``keys`` (pair semantics).
 
@@ -60,18 +65,45 @@ def pair_stats(cal: DataFrame, ref: DataFrame, keys: Sequence[str] = ("geohash",
                       F.try_divide(F.col("_sd"), nz("n_both")).alias("mean_diff"))
 
 
+def pair_sums(cal: DataFrame | Slots, ref: DataFrame | Slots, cell: str = "geohash", value: str = "demand") -> tuple[DataFrame, DataFrame]:
+    """What ``without_own`` needs: per cell the pair sums, and per (cell, t) the reference's moments."""
+    a, b = (_slot_moments(x, (cell, "t"), value, tag) for x, tag in ((cal, "a"), (ref, "b")))
+    j = a.join(b, [cell, "t"])
+    per_cell = j.groupBy(cell).agg(
+        F.sum(F.col("a_all") * F.col("b_nn")).alias("_pn"), F.sum(F.col("b_all") * F.col("a_nn")).alias("_pc"),
+        F.sum(F.col("a_all") * F.col("b_sum")).alias("_py"), F.sum(F.col("b_all") * F.col("a_sum")).alias("_px"))
+    return per_cell, b.select(cell, "t", *[F.col(f"b_{m}").alias(f"_own_{m}") for m in ("all", "nn", "sum")])
+
+
+def without_own(value: str = "demand") -> tuple[Column, Column, Column]:
+    """(n, m_ref, m_cal) of a calibration row's cell without the pairs that the row itself makes.
+
+    For rows with the columns of both tables of ``pair_sums``; the row's pairs are its slot's
+    reference rows, so their share of each sum is known without forming a pair.
+    """
+    zero = F.lit(0.0)
+    own = {m: F.coalesce(F.col(f"_own_{m}").cast("double"), zero) for m in ("all", "nn", "sum")}
+    n, nc, sy, sx = (F.coalesce(F.col(c).cast("double"), zero) for c in ("_pn", "_pc", "_py", "_px"))
+    n, sy = n - own["nn"], sy - own["sum"]
+    nc = nc - own["all"] * F.col(value).isNotNull().cast("double")
+    sx = sx - own["all"] * F.coalesce(F.col(value), zero)
+    some = lambda c: F.when(c > 0, c)
+    return n, F.try_divide(sy, some(n)), F.try_divide(sx, some(nc))
+
+
 def overlap_reference(ref: DataFrame, cal: DataFrame, slot: str = "t") -> DataFrame:
     """Reference rows whose slot occurs in the calibration period (left semi join)."""
     return ref.join(cal.select(slot).distinct(), [slot], "left_semi")
 
 
-def global_baselines(ref: DataFrame, cal: DataFrame, baseline: str = "overlap",
+def global_baselines(ref: DataFrame | Slots, cal: DataFrame | Slots, baseline: str = "overlap",
                      value: str = "demand") -> DataFrame:
     """One row ``(g_ref, g_cal)``; ``g_ref`` over the chosen reference window.
 
     ``hours``: reference hours ≤ 2; ``overlap``: reference slots seen in the
     calibration period; ``all``: the whole reference slice.
     """
+    ref, cal = as_slots(ref, value).table, as_slots(cal, value).table
     if baseline == "hours":
         r = ref.where(F.col("hour") <= BASELINE_LAST_HOUR)
     elif baseline == "overlap":
@@ -80,9 +112,8 @@ def global_baselines(ref: DataFrame, cal: DataFrame, baseline: str = "overlap",
         r = ref
     else:
         raise ValueError(f"unknown baseline={baseline!r}")
-    g_ref = r.agg(F.avg(value).alias("g_ref"))
-    g_cal = cal.agg(F.avg(value).alias("g_cal"))
-    return g_ref.crossJoin(g_cal)
+    mean = F.try_divide(F.sum("s"), F.when(F.sum("n") > 0, F.sum("n")))
+    return r.agg(mean.alias("g_ref")).crossJoin(F.broadcast(cal.agg(mean.alias("g_cal"))))
 
 
 def global_offset_scale(g: DataFrame, lo: float | None = None, hi: float | None = None) -> DataFrame:

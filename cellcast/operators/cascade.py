@@ -15,20 +15,27 @@ from cellcast.functions.numeric import clip
 from cellcast.operators import asof
 from cellcast.operators.calibration import (global_baselines, global_offset_scale, pair_stats,
                                             plain_scale, shrunk_offset, shrunk_scale)
-from cellcast.operators.lookups import ReferenceLookups, with_prefix_columns
+from cellcast.operators.lookups import ReferenceLookups, as_slots, with_prefix_columns
 
 CELL = "geohash"
 
 
-def resolve_levels(keys: DataFrame, lk: ReferenceLookups, prefix_weight: str = "row") -> DataFrame:
-    """Distinct keys ``(geohash, t, hour)`` → all lookup levels plus the overall mean."""
+LEVELS = ("exact", "geo_hour", "geo", "prefix5", "prefix4", "prefix3", "overall")
+
+
+def resolve_levels(keys: DataFrame, lk: ReferenceLookups, prefix_weight: str = "row", levels: Sequence[str] = LEVELS) -> DataFrame:
+    """Distinct keys ``(geohash, t, hour)`` → the lookup levels asked for (all, and the overall mean)."""
     k = with_prefix_columns(keys.select(CELL, "t", "hour").distinct())
-    k = (k.join(lk.exact(), [CELL, "t"], "left")
-          .join(lk.geo_hour(), [CELL, "hour"], "left")
-          .join(lk.geo(), [CELL], "left"))
+    if "exact" in levels:
+        k = k.join(lk.exact(), [CELL, "t"], "left")
+    if "geo_hour" in levels:
+        k = k.join(lk.geo_hour(), [CELL, "hour"], "left")
+    if "geo" in levels:
+        k = k.join(lk.geo(), [CELL], "left")
     for n in (5, 4, 3):
-        k = k.join(lk.prefix(n, weight=prefix_weight), [f"prefix{n}"], "left")
-    return k.crossJoin(F.broadcast(lk.overall()))
+        if f"prefix{n}" in levels:
+            k = k.join(lk.prefix(n, weight=prefix_weight), [f"prefix{n}"], "left")
+    return k.crossJoin(F.broadcast(lk.overall())) if "overall" in levels else k
 
 
 def first_level(steps: Sequence[tuple[str, Column]], default: tuple[str, Column]) -> tuple[Column, Column]:
@@ -45,10 +52,10 @@ class CascadeInputs:
 
     def __init__(self, ref: DataFrame, cal: DataFrame, rows: DataFrame, baseline: str = "overlap",
                  prefix_weight: str = "row"):
-        self.ref, self.cal, self.rows = ref, cal, rows
-        self.lk = ReferenceLookups(ref)
-        self.stats = pair_stats(cal, ref)
-        self.g = global_offset_scale(global_baselines(ref, cal, baseline))
+        self.ref, self.cal, self.rows = as_slots(ref), as_slots(cal), rows
+        self.lk = ReferenceLookups(self.ref)
+        self.stats = pair_stats(self.cal, self.ref)
+        self.g = global_offset_scale(global_baselines(self.ref, self.cal, baseline))
         self.keys = resolve_levels(rows, self.lk, prefix_weight)
 
     def attach(self, resolved: DataFrame, cols: Sequence[str], row_key: str = "Index") -> DataFrame:
@@ -99,6 +106,7 @@ def memorize_cascades(ref: DataFrame, cal: DataFrame, rows: DataFrame, lo: float
 def interp_cascade(ref: DataFrame, rows: DataFrame, edge: str = "null", prefix_weight: str = "row",
                    row_key: str = "Index") -> DataFrame:
     """Uncalibrated base: exact → interpolation → prefix5 → prefix4 → cell → overall."""
+    ref = as_slots(ref)
     lk = ReferenceLookups(ref)
     keys = resolve_levels(rows, lk, prefix_weight)
     br = asof.interpolate(asof.brackets(keys.select(CELL, "t"), asof.series(ref)), edge=edge)
@@ -123,6 +131,7 @@ def compare_cascades(ref: DataFrame, cal: DataFrame, rows: DataFrame, k: float =
     multiplicative, clip [0.1, 10], global ``clip(g_cal/g_ref, 0.5, 3)`` over
     the whole reference slice.  A NULL reference value moves to the next level.
     """
+    ref, cal = as_slots(ref), as_slots(cal)
     lk = ReferenceLookups(ref)
     keys = resolve_levels(rows, lk, prefix_weight="cell")
     ser = asof.series(ref)

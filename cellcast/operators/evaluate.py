@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,20 +28,15 @@ def score(r2col: Column) -> Column:
 def rmse_by_level(df: DataFrame, methods: Mapping[str, tuple[str, str]], y: str = "y") -> DataFrame:
     """RMSE per (method, level) and overall, plus the relative improvement of the
     second method over the first (``100·(a − b)/a``).  One pass: the methods are
-    unpivoted into rows, then grouping sets give per-level and overall rows.
+    unpivoted into rows, then grouping sets give per-level and overall rows; the improvement is
+    a window over those few result rows.
     """
-    parts = None
-    for name, (pcol, lcol) in methods.items():
-        part = df.select(F.lit(name).alias("method"), F.col(lcol).alias("level"), F.col(pcol).alias("_p"),
-                         F.col(y).alias("_y"))
-        parts = part if parts is None else parts.unionByName(part)
-    g = (parts.groupingSets([[F.col("method"), F.col("level")], [F.col("method")]], "method", "level")
+    rows = df.select(F.col(y).alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("method"), F.col(lcol).alias("level"), F.col(pcol).alias("_p"))
+        for name, (pcol, lcol) in methods.items()])).alias("_m")).select("_y", "_m.*")
+    g = (rows.groupingSets([[F.col("method"), F.col("level")], [F.col("method")]], "method", "level")
          .agg(F.count(F.lit(1)).alias("n"), rmse("_y", "_p").alias("rmse"), F.grouping("level").alias("_gl")))
-    g = g.select("method", F.when(F.col("_gl") == 1, F.lit("all")).otherwise(F.col("level")).alias("level"),
-                 "n", "rmse")
-    names = list(methods)
-    overall = g.where(F.col("level") == "all")
-    a = overall.where(F.col("method") == names[0]).select(F.col("rmse").alias("_a"))
-    b = overall.where(F.col("method") == names[1]).select(F.col("rmse").alias("_b"))
-    imp = a.crossJoin(b).select((F.lit(100.0) * (F.col("_a") - F.col("_b")) / F.col("_a")).alias("improvement_pct"))
-    return g.crossJoin(F.broadcast(imp))
+    a, b = (F.max(F.when((F.col("_gl") == 1) & (F.col("method") == name), F.col("rmse"))).over(Window.partitionBy())
+            for name in list(methods)[:2])
+    return g.select("method", F.when(F.col("_gl") == 1, F.lit("all")).otherwise(F.col("level")).alias("level"),
+                    "n", "rmse", (F.lit(100.0) * (a - b) / a).alias("improvement_pct"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.geohash import prefix as gh_prefix
+from cellcast.sources.staging import staged
 
 
 def _not_null(keys: Iterable[str]) -> Column:
@@ -43,20 +44,44 @@ def mean_by(df: DataFrame, keys: Sequence[str], value: str = "demand", name: str
     raise ValueError(f"unknown on_duplicate={on_duplicate!r}")
 
 
+class Slots:
+    """One slice reduced to its slots, written once: ``table`` holds per (cell, t, hour)
+
+    ``rows`` (all), ``n``, ``s``, ``ss`` (count, sum and sum of squares of the values),
+    ``mn`` and ``mx``.  Every mean, deviation, extreme, pair moment and baseline comes from
+    this table, so the raw slice is read once however many grains are used.
+    """
+
+    def __init__(self, rows: DataFrame, value: str = "demand", cell: str = "geohash"):
+        self.cell, self.value = cell, value
+        v = F.col(value)
+        self.table = staged(rows.groupBy(cell, "t", "hour").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
+            F.min(v).alias("mn"), F.max(v).alias("mx")), "slots")
+
+
+def as_slots(x: DataFrame | Slots, value: str = "demand", cell: str = "geohash") -> Slots:
+    return x if isinstance(x, Slots) else Slots(x, value, cell)
+
+
+def slots_std(s: str = "s", ss: str = "ss", n: str = "n") -> Column:
+    """Sample deviation of all values below a grouping of slots, 0 for fewer than two."""
+    total, squares, count = F.sum(s), F.sum(ss), F.sum(n)
+    return F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / count) / (count - 1))).otherwise(F.lit(0.0))
+
+
 class ReferenceLookups:
     """Lookup tables over one reference slice.
 
-    ``base`` holds ``(cell, t, hour, s, n)``: sum and count of non-null values per
-    slot.  Means at coarser grains are ``sum(s)/sum(n)`` (row-weighted).
+    ``base`` holds ``(cell, t, hour, s, n, ...)`` per slot (see ``Slots``).  Means at coarser
+    grains are ``sum(s)/sum(n)`` (row-weighted).
     """
 
-    def __init__(self, ref: DataFrame, value: str = "demand", cell: str = "geohash"):
-        self.ref = ref
+    def __init__(self, ref: DataFrame | Slots, value: str = "demand", cell: str = "geohash"):
+        self.slots = as_slots(ref, value, cell)
         self.value = value
         self.cell = cell
-        self.base = (ref.where(F.col(cell).isNotNull())
-                     .groupBy(cell, "t", "hour")
-                     .agg(F.sum(value).alias("s"), F.count(value).alias("n")))
+        self.base = self.slots.table.where(F.col(cell).isNotNull())
 
     @staticmethod
     def _mean(s: str = "s", n: str = "n") -> Column:
@@ -86,28 +111,18 @@ class ReferenceLookups:
                     .groupBy(key).agg(F.avg("_m").alias(name)))
         raise ValueError(f"unknown weight={weight!r}")
 
+    def prefix_hour(self, n: int, name: str) -> DataFrame:
+        key = f"prefix{n}"
+        return self.base.withColumn(key, gh_prefix(self.cell, n)).groupBy(key, "hour").agg(self._mean().alias(name))
+
     def hour(self, name: str = "hour_mean") -> DataFrame:
         return self.base.groupBy("hour").agg(self._mean().alias(name))
 
     def overall(self, name: str = "overall_mean") -> DataFrame:
-        """One-row table with the mean of all non-null reference values."""
+        """One-row table with the mean of all non-null reference values (of rows with a cell)."""
         return self.base.agg(self._mean().alias(name))
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a table that is one row by construction for a broadcast cross join."""
-    return F.broadcast(df)
-
-
-def attach(rows: DataFrame, resolved: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join per-key results back to the (large) row table on its own keys."""
-    return rows.join(resolved, list(keys), how)
-
-
-def distinct_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return rows.select(*keys).distinct()
-
-
 def with_prefix_columns(df: DataFrame, cell: str = "geohash", sizes=(5, 4, 3)) -> DataFrame:
     for n in sizes:
         df = df.withColumn(f"prefix{n}", gh_prefix(cell, n))

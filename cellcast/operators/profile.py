@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,18 @@ from cellcast.functions.numeric import clip
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """r over rows with both values, their count and the t statistic ``r·sqrt((n−2)/(1−r²))``."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    s = d.agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
-    return s.select("r", "n", (F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r"))))
+    """r over rows with both values, their count, the t statistic ``r·sqrt((n−2)/(1−r²))`` and its
+    two-sided p-value (that of the slope of a linear regression; NULL for fewer than three rows or
+    a constant column)."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    s = d.agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).first()
+    p = None
+    if s["n"] > 2 and s["sx"] and s["sy"] and abs(s["r"]) < 1:
+        fit = LinearRegression(labelCol=y, regParam=0.0, solver="normal").fit(
+            VectorAssembler(inputCols=[x], outputCol="features").transform(d))
+        p = float(fit.summary.pValues[0])
+    s = df.sparkSession.createDataFrame([(s["r"], s["n"], p)], "r double, n long, p_value double")
+    return s.select("r", "n", "p_value", (F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r"))))
                     .alias("t_stat"))
 
 
@@ -60,7 +70,7 @@ def weather_correction(ref: DataFrame, rows: DataFrame, base: DataFrame, weights
     """``clip(p·(1 + w·(clip(ratio, .5, 2) − 1)), 0, 1)``; ratio = weather mean / overall mean, missing → 1."""
     wm = ref.where(F.col("Weather").isNotNull()).groupBy("Weather").agg(F.avg("demand").alias("_wm"))
     ov = ref.agg(F.avg("demand").alias("_ov"))
-    x = (rows.select("Index", "Weather").join(F.broadcast(wm), ["Weather"], "left").crossJoin(F.broadcast(ov))
+    x = (rows.select("Index", "Weather").join(wm, ["Weather"], "left").crossJoin(F.broadcast(ov))
          .join(base.select("Index", F.col("demand").alias("_p")), ["Index"]))
     ratio = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.coalesce(F.col("_wm") / F.col("_ov"), F.lit(1.0))))
     return (x.withColumn("_r", ratio).crossJoin(F.broadcast(weights))

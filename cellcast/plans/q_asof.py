@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellcast.operators import asof
@@ -157,5 +158,4 @@ def coverage_levels(spark, sf_dir):
     r = roles(spark, sf_dir)
     c = memorize_cascades(r.ref, r.cal, r.tgt)
     counts = c.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.count(F.lit(1)).alias("_tot"))
-    return counts.crossJoin(F.broadcast(total)).select("level", "n", (F.col("n") / F.col("_tot")).alias("share"))
+    return counts.select("level", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellcast.functions.timekeys import with_cyclical, with_time_flags
 from cellcast.operators import features as FT
+from cellcast.operators.lookups import Slots
 from cellcast.plans.common import roles
 from cellcast.plans.q_calibration import LOOKUP_CTES
 from cellcast.plans.q_lookups import NEIGHBOR_SQL
@@ -44,8 +45,9 @@ SELECT tgt."Index", ln(1 + coalesce(cnt.c, 0)) AS geohash_count FROM tgt LEFT JO
                                     ["geohash_count"]))
 def log_frequency(spark, sf_dir):
     r = roles(spark, sf_dir)
-    train = r.ref.unionByName(r.cal)
-    return FT._with_log_count(r.tgt.select("Index", "geohash"), train).select("Index", "geohash_count")
+    count = FT.cell_frequency(Slots(r.ref), Slots(r.cal))
+    return r.tgt.select("Index", "geohash").join(count, ["geohash"], "left").select(
+        "Index", F.coalesce("geohash_count", F.lit(0.0)).alias("geohash_count"))
 
 
 @query("encode_fixed", sql=rounded(with_roles() + """
@@ -71,7 +73,7 @@ def encode_domain(spark, sf_dir):
     """Alphabetical codes over the union domain of both tables (``Missing`` for NULL).
 
     The domain (distinct categories, a few rows per feature) is numbered with a
-    window per feature and broadcast back to the rows.
+    window per feature and joined back to the rows.
     """
     from pyspark.sql import Window
     r = roles(spark, sf_dir)
@@ -83,7 +85,7 @@ def encode_domain(spark, sf_dir):
     out = r.tgt.select("Index", *cats).fillna(FT.MISSING, subset=cats)
     for c in cats:
         d = dom.where(F.col("feature") == c).select(F.col("category").alias(c), F.col("code").alias(f"{c}_code"))
-        out = out.join(F.broadcast(d), [c], "left")
+        out = out.join(d, [c], "left")
     return out.select("Index", *[f"{c}_code" for c in cats])
 
 
@@ -131,7 +133,7 @@ RES_DOUBLES = ["Temperature", "exact_calib", "geo_hour_calib", "geo_calib", "pre
 
 
 def residual_table(r):
-    return FT.residual_features(r.ref, r.cal, r.tgt, r.ref.unionByName(r.cal))
+    return FT.residual_features(r.ref, r.cal, r.tgt)
 
 
 @query("feature_table_residual", sql=rounded(with_roles(*LOOKUP_CTES, *RES_CTES) + """
@@ -330,7 +332,7 @@ def _stack_doubles():
 @query("feature_table_stack", sql=rounded(_stack_sql(), _stack_doubles()))
 def feature_table_stack(spark, sf_dir):
     r = roles(spark, sf_dir)
-    return FT.stack_features(r.ref, r.cal, r.tgt, r.ref.unionByName(r.cal))
+    return FT.stack_features(r.ref, r.cal, r.tgt)
 
 
 @query("lag_row_stats", sql=rounded(_stack_sql().replace("\nSELECT \"Index\", hour, minute", "\n, fin AS (SELECT \"Index\", hour, minute", 1)

@@ -20,9 +20,9 @@ from cellcast.plans.sqlparts import geohash_neighbor_ctes, geohash_xy_ctes, roun
 CELL = "geohash"
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, *levels):
     r = roles(spark, sf_dir)
-    return r, resolve_levels(r.tgt, ReferenceLookups(r.ref))
+    return r, resolve_levels(r.tgt, ReferenceLookups(r.ref), levels=levels)
 
 
 def _attach(r, k, cols):
@@ -42,21 +42,21 @@ JOIN_TGT = """FROM tgt
 @query("lookup_exact", sql=rounded(with_roles(*LOOKUP_CTES) + f'SELECT tgt."Index", ex.v AS ref_exact {JOIN_TGT}',
                                    ["ref_exact"]))
 def lookup_exact(spark, sf_dir):
-    r, k = _resolved(spark, sf_dir)
+    r, k = _resolved(spark, sf_dir, "exact")
     return _attach(r, k, ["ref_exact"])
 
 
 @query("lookup_geo_hour", sql=rounded(with_roles(*LOOKUP_CTES) + f'SELECT tgt."Index", gh.v AS ref_geo_hour {JOIN_TGT}',
                                       ["ref_geo_hour"]))
 def lookup_geo_hour(spark, sf_dir):
-    r, k = _resolved(spark, sf_dir)
+    r, k = _resolved(spark, sf_dir, "geo_hour")
     return _attach(r, k, ["ref_geo_hour"])
 
 
 @query("lookup_geo", sql=rounded(with_roles(*LOOKUP_CTES) + f'SELECT tgt."Index", g.v AS ref_geo {JOIN_TGT}',
                                  ["ref_geo"]))
 def lookup_geo(spark, sf_dir):
-    r, k = _resolved(spark, sf_dir)
+    r, k = _resolved(spark, sf_dir, "geo")
     return _attach(r, k, ["ref_geo"])
 
 
@@ -66,7 +66,7 @@ def lookup_geo(spark, sf_dir):
   LEFT JOIN p3h ON p3h.k = substr(tgt.geohash, 1, 3) AND p3h.hour = tgt.hour""",
                                     ["prefix5_mean", "prefix4_mean", "prefix3_mean", "prefix3_hour_mean"]))
 def lookup_prefix(spark, sf_dir):
-    r, k = _resolved(spark, sf_dir)
+    r, k = _resolved(spark, sf_dir, "prefix5", "prefix4", "prefix3")
     p3h = (r.ref.withColumn("prefix3", G.prefix(CELL, 3)).groupBy("prefix3", "hour")
            .agg(F.avg("demand").alias("prefix3_hour_mean")))
     k = k.join(p3h, ["prefix3", "hour"], "left")
@@ -84,16 +84,16 @@ LEFT JOIN rhm ON rhm.RoadType = tgt.RoadType AND rhm.hour = tgt.hour
 LEFT JOIN whm ON whm.Weather = tgt.Weather AND whm.hour = tgt.hour""",
                                      ["hour_mean", "road_mean", "road_hour_mean", "weather_hour_mean"]))
 def lookup_context(spark, sf_dir):
-    """Context lookups; these tables are bounded by category × 24 rows, so they are broadcast."""
+    """Context lookups; whether a category table is broadcast is decided at run time by its size."""
     r = roles(spark, sf_dir)
     hm = mean_by(r.ref, ["hour"], name="hour_mean")
     rm = mean_by(r.ref, ["RoadType"], name="road_mean")
     rhm = mean_by(r.ref, ["RoadType", "hour"], name="road_hour_mean")
     whm = mean_by(r.ref, ["Weather", "hour"], name="weather_hour_mean")
     return (r.tgt.select("Index", "hour", "RoadType", "Weather")
-            .join(F.broadcast(hm), ["hour"], "left").join(F.broadcast(rm), ["RoadType"], "left")
-            .join(F.broadcast(rhm), ["RoadType", "hour"], "left")
-            .join(F.broadcast(whm), ["Weather", "hour"], "left")
+            .join(hm, ["hour"], "left").join(rm, ["RoadType"], "left")
+            .join(rhm, ["RoadType", "hour"], "left")
+            .join(whm, ["Weather", "hour"], "left")
             .select("Index", "hour_mean", "road_mean", "road_hour_mean", "weather_hour_mean"))
 
 

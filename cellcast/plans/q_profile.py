@@ -14,8 +14,13 @@ from cellcast.sources.predictions import PRED_CTES, prediction_tables
 
 @query("correlation", sql=rounded(with_roles() + """
 , d AS (SELECT Temperature AS x, demand AS y FROM ref WHERE Temperature IS NOT NULL AND demand IS NOT NULL)
-SELECT corr(x, y) AS r, CAST(count(*) AS BIGINT) AS n, corr(x, y) * sqrt((count(*) - 2) / (1.0 - corr(x, y) * corr(x, y))) AS t_stat
-FROM d""", ["r", "t_stat"]))
+, s AS (SELECT corr(x, y) AS r, CAST(count(*) AS BIGINT) AS n, corr(x, y) * sqrt((count(*) - 2) / (1.0 - corr(x, y) * corr(x, y))) AS t_stat FROM d),
+-- two-sided tail of Student's t: 2 C times the integral of cos(a)^(n-3) from atan(|t|/sqrt(n-2)) to pi/2, by Simpson's rule
+g AS (SELECT r, n, t_stat, n - 2 AS v, atan(abs(t_stat) / sqrt(n - 2)) AS lo, (pi() / 2 - atan(abs(t_stat) / sqrt(n - 2))) / 40000 AS h FROM s),
+q AS (SELECT any_value(exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(pi())) * any_value(h) / 3 * sum(
+    CASE WHEN i IN (0, 40000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(0.0, cos(lo + i * h)), v - 1)) AS half
+  FROM g, range(40001) z(i))
+SELECT r, n, t_stat, 2 * half AS p_value FROM s, q""", ["r", "t_stat", "p_value"]))
 def correlation(spark, sf_dir):
     return PR.pearson(roles(spark, sf_dir).ref, "Temperature", "demand")
 

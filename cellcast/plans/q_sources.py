@@ -16,6 +16,7 @@ from cellcast.plans.registry import query
 from cellcast.sources import files
 from cellcast.sources.fixtures import FIXTURE_SQL, Roles, demand_observations
 from cellcast.sources.predictions import PRED_CTES, long_predictions, prediction_tables
+from cellcast.sources.staging import new_path
 from cellcast.sources.tables import table_path
 from cellcast.plans.q_calibration import ADD_LEVEL, ADD_VALUE, LOOKUP_CTES, MEMO_X, MULT_VALUE, PAIR_CTES
 from cellcast.plans.sqlparts import rounded, with_roles
@@ -29,6 +30,22 @@ def scan_observations(spark, sf_dir):
     return demand_observations(spark, sf_dir)
 
 
+CSV_SQL = """
+SELECT row_id AS "Index", geohash, day, timestamp, CASE WHEN row_id % 7 IN (1, 2, 3, 4) THEN NULL ELSE demand END AS demand,
+  RoadType, NumberofLanes, LargeVehicles, Landmarks, Temperature, Weather FROM obs"""
+
+
+@query("scan_csv", sql=rounded(with_roles() + CSV_SQL, ["demand", "Temperature"]))
+def scan_csv(spark, sf_dir):
+    """Observations as a CSV file with missing, junk and NaN labels, scanned with the declared schema."""
+    obs = demand_observations(spark, sf_dir).withColumnRenamed("row_id", "Index")
+    label = (F.when(F.col("Index") % 7 == 1, "n/a").when(F.col("Index") % 7 == 2, "NaN").when(F.col("Index") % 7 == 3, "5d")
+             .when(F.col("Index") % 7 == 4, F.lit(None)).otherwise(F.col("demand").cast("string")))
+    path = new_path(spark, "observations")
+    obs.withColumn("demand", label).select(*files.OBSERVATION_SCHEMA.names).write.option("header", True).csv(path)
+    return files.read_observations(spark, path)
+
+
 @query("coerce_numeric", sql=rounded(with_roles() + """
 SELECT row_id, TRY_CAST(CAST(demand AS VARCHAR) AS DOUBLE) AS demand,
        TRY_CAST(props AS DOUBLE) AS props_num
@@ -45,7 +62,10 @@ def coerce_numeric(spark, sf_dir):
 SELECT "Index", avg(demand) AS demand, CAST(count(DISTINCT source) AS BIGINT) AS n_sources
 FROM preds GROUP BY "Index" """, ["demand"]))
 def ensemble_average(spark, sf_dir):
-    return files.ensemble_average(long_predictions(roles(spark, sf_dir)))
+    """One file set per source is written, the folder is read back and averaged per row."""
+    path = new_path(spark, "predictions")
+    files.write_predictions(long_predictions(roles(spark, sf_dir)).withColumnRenamed("source", "variant"), path, partition_by=["variant"])
+    return files.ensemble_average(files.read_prediction_dir(spark, path))
 
 
 @query("first_available", sql=rounded(FIXTURE_SQL, ["demand", "Temperature"]))
@@ -75,10 +95,10 @@ def ordinal_slice(spark, sf_dir):
     b = files.with_ordinal(t["pred_b"], ["Index"]).crossJoin(F.broadcast(n)) \
         .select((F.col("pos") + F.col("_n")).alias("pos"), "demand")
     stacked = a.select("pos", "demand").unionByName(b)
-    # half-way split of the stacked table, then re-keyed by ordinal of the targets
+    # half-way split of the stacked table (whose size is checked), then re-keyed by ordinal of the targets
     total = stacked.agg(F.count(F.lit(1)).alias("_t"))
-    half = stacked.crossJoin(F.broadcast(total)).where(
-        (F.col("pos") >= F.col("_t") / 2) & (F.col("pos") < F.col("_t")))
+    rows = r.tgt.count()
+    half = files.ordinal_slice(stacked, "pos", rows, 2 * rows, expected_total=2 * rows).crossJoin(F.broadcast(total))
     keys = files.with_ordinal(r.tgt.select("Index"), ["Index"]).withColumnRenamed("pos", "_k")
     return (half.withColumn("_k", F.col("pos") - F.col("_t") / 2)
             .withColumn("_k", F.col("_k").cast("long"))
@@ -89,7 +109,9 @@ def ordinal_slice(spark, sf_dir):
                                        + f'SELECT "Index", {ADD_VALUE} AS demand FROM x', ["demand"]))
 def submission_frame(spark, sf_dir):
     r = roles(spark, sf_dir)
-    return memorize_cascades(r.ref, r.cal, r.tgt).select("Index", F.col("pred_add").alias("demand"))
+    path = new_path(spark, "submission")
+    files.write_predictions(memorize_cascades(r.ref, r.cal, r.tgt).select("Index", F.col("pred_add").alias("demand")), path)
+    return files.read_prediction_dir(spark, path).select("Index", "demand")
 
 
 @query("variants_long", sql=rounded(with_roles(*LOOKUP_CTES, *PAIR_CTES, MEMO_X) + f""",
@@ -101,8 +123,10 @@ UNION ALL SELECT 'memorize_blend', "Index", greatest(0.0, least(1.0, 0.5 * a + 0
 def variants_long(spark, sf_dir):
     r = roles(spark, sf_dir)
     wide = memorize_cascades(r.ref, r.cal, r.tgt)
-    return files.variants_long(wide, "Index", {"memorize_additive": "pred_add", "memorize_mult": "pred_mult",
-                                               "memorize_blend": "pred_blend"})
+    path = new_path(spark, "variants")
+    files.write_predictions(files.variants_long(wide, "Index", {
+        "memorize_additive": "pred_add", "memorize_mult": "pred_mult", "memorize_blend": "pred_blend"}), path, partition_by=["variant"])
+    return files.read_prediction_dir(spark, path).withColumnRenamed("source", "variant")
 
 
 @query("parse_time_strict", sql=with_roles() + "SELECT row_id, hour, minute, t FROM p")
@@ -155,12 +179,12 @@ def geo_prefixes(spark, sf_dir):
 
 
 @query("empty_reference", sql=rounded(with_roles() + """
-, emp AS (SELECT geohash, avg(demand) AS v, count(*) AS n FROM p WHERE day = 47 GROUP BY geohash)
+, emp AS (SELECT geohash, avg(demand) AS v, count(*) AS n FROM p WHERE day = 46 GROUP BY geohash)
 SELECT tgt."Index", emp.v AS ref_geo, coalesce(emp.n, 0) AS ref_n FROM tgt LEFT JOIN emp ON emp.geohash = tgt.geohash
 """, ["ref_geo"]))
 def empty_reference(spark, sf_dir):
     r = roles(spark, sf_dir)
-    emp = r.obs.where(F.col("day") == 47).groupBy("geohash").agg(F.avg("demand").alias("ref_geo"),
+    emp = r.obs.where(F.col("day") == 46).groupBy("geohash").agg(F.avg("demand").alias("ref_geo"),
                                                                  F.count(F.lit(1)).alias("_n"))
     return r.tgt.join(emp, ["geohash"], "left").select("Index", "ref_geo",
                                                        F.coalesce(F.col("_n"), F.lit(0)).alias("ref_n"))

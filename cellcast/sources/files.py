@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellcast.functions.numeric import nan_to_null
+from cellcast.functions.timekeys import NUMBER
 
 OBSERVATION_SCHEMA = T.StructType([
     T.StructField("Index", T.LongType()),
@@ -33,7 +35,8 @@ PREDICTION_SCHEMA = T.StructType([
 def coerce_numeric(c: Column | str) -> Column:
     """Text → DOUBLE; unparsable text and NaN become NULL (``to_numeric(errors='coerce')``)."""
     col = F.col(c) if isinstance(c, str) else c
-    return nan_to_null(col.cast("string").try_cast("double"))
+    text = col.cast("string")
+    return nan_to_null(F.when(text.rlike(NUMBER), text).try_cast("double"))
 
 
 def read_observations(spark: SparkSession, path: str, fmt: str = "csv",
@@ -47,24 +50,26 @@ def read_observations(spark: SparkSession, path: str, fmt: str = "csv",
 
 
 def first_available(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -> DataFrame:
-    """Read the first path that resolves; raise if none does.
-
-    Only file-system metadata is touched on the driver (no data is read).
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """Read the first path that resolves; raise if none does (only schemas are read)."""
     for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
+        try:
             return spark.read.format(fmt).load(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of the sources exists: {list(paths)}")
 
 
 def read_prediction_dir(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """All prediction files of a folder as ``(source, Index, demand)``."""
-    reader = spark.read.schema(PREDICTION_SCHEMA)
+    """All prediction files of a folder as ``(source, Index, demand)``.
+
+    ``source`` is the variant of a folder written per variant, else the file.
+    """
+    reader = spark.read.schema(PREDICTION_SCHEMA).option("recursiveFileLookup", True)
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
-    return df.select(F.col("_metadata.file_path").alias("source"), "Index", "demand")
+    file = F.col("_metadata.file_path")
+    variant = F.regexp_extract(file, "/variant=([^/]+)/", 1)
+    return df.select(F.when(variant != "", variant).otherwise(file).alias("source"), "Index", "demand")
 
 
 def ensemble_average(preds: DataFrame, key: str = "Index", value: str = "demand",
@@ -73,22 +78,39 @@ def ensemble_average(preds: DataFrame, key: str = "Index", value: str = "demand"
     return preds.groupBy(key).agg(F.avg(value).alias(value), F.countDistinct(source).alias("n_sources"))
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+# Buckets of the distributed ordinal, and sampled keys for each bound between them.
+ORDINAL_BUCKETS = 64
+KEYS_PER_BOUND = 32
+
+
+def _order_bounds(keyed: DataFrame, buckets: int) -> list:
+    """At most ``buckets - 1`` key values that cut the rows into about equal parts.
+
+    The keys of least hash are a sample of bounded size; any bounds give right ordinals.
+    """
+    sample = keyed.select("_k").orderBy(F.xxhash64("_k", F.lit("sample"))).limit(buckets * KEYS_PER_BOUND)
+    keys = [r[0] for r in sample.orderBy("_k").collect()]
+    return [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
+
+
+def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "pos", buckets: int = ORDINAL_BUCKETS) -> DataFrame:
     """Consecutive 0-based ordinal in ``order`` without a single-partition window.
 
-    Rows are range-partitioned and sorted; each partition numbers its rows and
-    adds the count of all rows in earlier partitions (a table of one row per
-    partition, broadcast).  This is ``zipWithIndex`` in DataFrame form.
+    The sort key (the order columns, then a hash of the whole row, so ties are split too) is
+    cut at a short list of literal bounds.  A row's bucket follows from its own values alone,
+    so the rows and the counts of earlier buckets (at most ``buckets`` rows, broadcast) always
+    agree, whatever the partitioning.  Rows equal in every column are interchangeable.
     """
-    s = (df.repartitionByRange(*[F.col(c) for c in order])
-         .sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id()))
-    local = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.select("_pid", (F.sum("_c").over(Window.orderBy("_pid")) - F.col("_c")).alias("_off"))
-    return (local.join(F.broadcast(offsets), ["_pid"])
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    keyed = df.withColumn("_k", F.struct(*[F.col(c) for c in order], F.xxhash64(*df.columns).alias("_hash")))
+    kind = keyed.schema["_k"].dataType
+    bounds = keyed.sparkSession.createDataFrame([(_order_bounds(keyed, buckets),)], T.StructType([
+        T.StructField("_bounds", T.ArrayType(kind))]))
+    cut = keyed.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_k")))).drop("_bounds")
+    counts = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_off"))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy("_k")) - 1)
+    return (local.join(F.broadcast(offsets), ["_b"]).withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
+            .drop("_b", "_k", "_local", "_off"))
 
 
 def ordinal_slice(df: DataFrame, pos: str, start: int, stop: int,

@@ -4,6 +4,7 @@
 observations ``(row_id, geohash, day, timestamp, demand, RoadType, Weather,
 LargeVehicles, Landmarks, NumberofLanes, Temperature)``.  Roles:
 
+* held out    = day 47 (some cells of the early period, so that the other roles miss them)
 * reference   = day 48
 * calibration = day 49 with ``t <= 120``
 * target      = day 49 with ``t > 120`` (``Index = row_id``; demand kept for scoring)
@@ -20,6 +21,7 @@ from cellcast.functions.geohash import ALPHABET
 from cellcast.functions.timekeys import parse_time_strict
 from cellcast.sources.tables import read_table
 
+HELD_OUT_DAY = 47
 REFERENCE_DAY = 48
 TARGET_DAY = 49
 CALIBRATION_LAST_MINUTE = 120
@@ -37,15 +39,14 @@ def demand_observations(spark: SparkSession, sf_dir: str, events: DataFrame | No
     u50 = F.floor(uid / 50).cast("int")
     u10 = F.floor(uid / 10).cast("int")
     early = F.dayofmonth("ts") <= 15
-    dropped = early & ((uid % 10 == 9) | (u10 % 5 == 4) | (u50 == 2))
+    held_out = early & ((uid % 10 == 9) | (u10 % 5 == 4) | (u50 == 2))
     geohash = F.concat(F.when(uid % 50 == 48, F.lit("qp1")).otherwise(F.lit("qp0")),
                        _digit(u50 % 32), _digit(u10 % 5), _digit((uid % 10).cast("int")))
     timestamp = F.concat(F.hour("ts").cast("string"), F.lit(":"),
                          (F.floor(F.minute("ts") / 15).cast("int") * 15).cast("string"))
-    return (ev.where(~dropped)
-            .select(eid.alias("row_id"),
+    return (ev.select(eid.alias("row_id"),
                     geohash.alias("geohash"),
-                    F.when(early, F.lit(REFERENCE_DAY)).otherwise(F.lit(TARGET_DAY)).alias("day"),
+                    F.when(held_out, F.lit(HELD_OUT_DAY)).when(early, F.lit(REFERENCE_DAY)).otherwise(F.lit(TARGET_DAY)).alias("day"),
                     timestamp.alias("timestamp"),
                     F.when(eid % 101 != 0, F.least(F.col("value") / F.lit(100.0), F.lit(1.0))).alias("demand"),
                     F.when(F.col("event_type") == "click", "Residential")
@@ -83,7 +84,9 @@ SELECT event_id AS row_id,
    substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(floor(user_id/50) AS INT)%32+1, 1),
    substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(floor(user_id/10) AS INT)%5+1, 1),
    substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(user_id%10 AS INT)+1, 1)) AS geohash,
- CAST(CASE WHEN day(ts)<=15 THEN 48 ELSE 49 END AS INTEGER) AS day,
+ CAST(CASE WHEN day(ts)<=15 AND (user_id%10=9 OR CAST(floor(user_id/10) AS INT)%5=4
+                                 OR CAST(floor(user_id/50) AS INT)=2) THEN 47
+           WHEN day(ts)<=15 THEN 48 ELSE 49 END AS INTEGER) AS day,
  concat(CAST(hour(ts) AS VARCHAR),':',
         CAST(CAST(floor(minute(ts)/15) AS INT)*15 AS VARCHAR)) AS timestamp,
  CASE WHEN event_id%101<>0
@@ -98,7 +101,4 @@ SELECT event_id AS row_id,
  CASE WHEN event_id%10<>9
       THEN CAST(10 AS DOUBLE)+(event_id%97)/CAST(4 AS DOUBLE) END AS Temperature
 FROM events
-WHERE NOT (day(ts)<=15 AND (user_id%10=9
-           OR CAST(floor(user_id/10) AS INT)%5=4
-           OR CAST(floor(user_id/50) AS INT)=2))
 """

@@ -1,7 +1,7 @@
 """Stream-static scoring with the additive lookup cascade.
 
 The reference and calibration periods are finite tables; target rows may arrive
-as a stream.  The lookup tables are computed once (static side) and every
+as a stream.  The lookup tables are written once (static side) and every
 micro-batch is left-joined to them — Structured Streaming supports stream-static
 left outer joins with the stream on the left, and keeps no state for them.
 """
@@ -15,20 +15,24 @@ from cellcast.functions.numeric import clip
 from cellcast.functions.timekeys import parse_time_strict
 from cellcast.operators.calibration import global_baselines, global_offset_scale, pair_stats
 from cellcast.operators.cascade import first_level
-from cellcast.operators.lookups import ReferenceLookups, with_prefix_columns
+from cellcast.operators.lookups import ReferenceLookups, as_slots, with_prefix_columns
+from cellcast.sources.staging import staged
 
 CELL = "geohash"
 
 
 def static_lookups(ref: DataFrame, cal: DataFrame) -> dict[str, DataFrame]:
+    """The static side: each lookup as a written table, so no micro-batch computes one again."""
+    ref, cal = as_slots(ref), as_slots(cal)
     lk = ReferenceLookups(ref)
     g = global_offset_scale(global_baselines(ref, cal, "overlap"))
-    return {
+    tables = {
         "exact": lk.exact(), "geo_hour": lk.geo_hour(), "geo": lk.geo(),
         "p5": lk.prefix(5), "p4": lk.prefix(4), "p3": lk.prefix(3),
         "offset": pair_stats(cal, ref).select(CELL, F.col("mean_diff").alias("_off")),
         "globals": lk.overall().crossJoin(g.select("global_offset")),
     }
+    return {name: staged(df, f"lookup-{name}") for name, df in tables.items()}
 
 
 def score_stream(rows: DataFrame, lookups: dict[str, DataFrame], lo: float = 0.0, hi: float = 1.0,

@@ -11,7 +11,7 @@ from cellcast.functions import geohash as G
 from cellcast.functions.numeric import clip, nan_to_null
 from cellcast.functions.timekeys import parse_time_tolerant
 from cellcast.operators import aggregates as A
-from cellcast.operators import asof, lags
+from cellcast.operators import asof, lags, profile
 from cellcast.operators.calibration import pair_stats, shrunk_scale
 from cellcast.operators.lookups import ReferenceLookups, mean_by
 from cellcast.sources import files
@@ -42,14 +42,19 @@ def test_zero_denominator_scale(spark):
 
 
 def test_bad_time_text(spark):
-    df = spark.createDataFrame([(None,), ("x:y",), ("7",), ("2:15",), ("7.5:3",)], "timestamp string")
+    df = spark.createDataFrame([(None,), ("x:y",), ("7",), ("2:15",), ("7.5:3",), ("NaN:3",), ("1e10:0",), ("Infinity:0",), ("5d:1f",), (" 6 :-",)], "timestamp string")
     got = [(r.hour, r.minute) for r in parse_time_tolerant(df).collect()]
-    assert got == [(0, 0), (0, 0), (7, 0), (2, 15), (7, 3)]
+    assert got == [(0, 0), (0, 0), (7, 0), (2, 15), (7, 3), (0, 3), (0, 0), (0, 0), (0, 0), (6, 0)]
 
 
 def test_clip_keeps_null(spark):
-    df = spark.createDataFrame([(None,), (-1.0,), (2.0,)], "v double")
-    assert [r[0] for r in df.select(clip(F.col("v"), 0.0, 1.0)).collect()] == [None, 0.0, 1.0]
+    df = spark.createDataFrame([(None,), (-1.0,), (2.0,), (float("nan"),)], "v double")
+    assert [r[0] for r in df.select(clip(F.col("v"), 0.0, 1.0)).collect()] == [None, 0.0, 1.0, None]
+
+
+def test_number_text(spark):
+    df = spark.createDataFrame([("0.5",), ("5d",), ("1f",), ("NaN",), ("Infinity",), ("x",), (None,), (" 2e1 ",), ("-.5",), ("0x1p3",)], "v string")
+    assert [r[0] for r in df.select(files.coerce_numeric("v")).collect()] == [0.5, None, None, None, None, None, None, 20.0, -0.5, None]
 
 
 def test_duplicate_policy(spark):
@@ -141,3 +146,52 @@ def test_read_observations_csv(spark, tmp_path):
     df = files.read_observations(spark, str(p))
     rows = df.orderBy("Index").collect()
     assert rows[0].demand == 0.5 and rows[1].demand is None and rows[1].RoadType is None
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordinal_of_many_wide_rows(spark, tmp_path, adaptive):
+    """Every ordinal once, on both sides of a write, whatever the partitions and however many ties."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        n = 3_000_000
+        df = spark.range(n, numPartitions=24).select(
+            F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id") % 1_000_003).alias("k"), "id",
+            F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+        files.with_ordinal(df, ["k"]).write.parquet(str(tmp_path / "o"))
+        r = spark.read.parquet(str(tmp_path / "o")).agg(
+            F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("pos").alias("s"),
+            F.expr("bit_xor(xxhash64(pos))").alias("x")).first()
+        want = spark.range(n).agg(F.expr("bit_xor(xxhash64(id))")).first()[0]
+        assert (r.n, r.lo, r.hi, r.s, r.x) == (n, 0, n - 1, n * (n - 1) // 2, want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_row_count_guard(spark):
+    df = spark.range(10).withColumnRenamed("id", "pos")
+    assert files.ordinal_slice(df, "pos", 2, 5, expected_total=10).count() == 3
+    with pytest.raises(Exception, match="unexpected row count"):
+        files.ordinal_slice(df, "pos", 2, 5, expected_total=11).collect()
+
+
+def test_median_with_a_hot_group(spark):
+    """A third of all rows in one group; the raw rows are never shuffled by the group alone."""
+    df = spark.range(90_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("k"), ((F.col("id") * 7919) % 10_007).cast("double").alias("v"))
+    got = dict(A.exact_median(df, "v", ["k"]).collect())
+    pdf = df.toPandas().groupby("k")["v"].median()
+    assert got == pdf.to_dict()
+
+
+def test_pearson_p_value(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(40)
+    df = spark.createDataFrame([(float(a), float(a * 0.3 + b)) for a, b in zip(x, rng.standard_normal(40))] + [(None, 1.0)], "x double, y double")
+    r = profile.pearson(df, "x", "y").first()
+    # two-sided tail of Student's t by numeric integration
+    a = np.linspace(np.arctan(abs(r.t_stat) / math.sqrt(38)), math.pi / 2, 200_001)
+    c = math.gamma(19.5) / math.gamma(19) / math.sqrt(math.pi)
+    assert r.n == 40 and abs(r.p_value - 2 * c * np.trapezoid(np.cos(a) ** 37, a)) < 1e-8
+    assert profile.pearson(df.limit(2), "x", "y").first().p_value is None
