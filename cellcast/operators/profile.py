@@ -24,7 +24,8 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
             VectorAssembler(inputCols=[x], outputCol="features").transform(d))
         p = float(fit.summary.pValues[0])
     s = df.sparkSession.createDataFrame([(s["r"], s["n"], p)], "r double, n long, p_value double")
-    return s.select("r", "n", "p_value", (F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r"))))
+    rest = F.lit(1.0) - F.col("r") * F.col("r")
+    return s.select("r", "n", "p_value", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.when(rest > 0, rest))))
                     .alias("t_stat"))
 
 
