@@ -104,7 +104,11 @@ def index(items: list[tuple[int, str]], edits: float) -> dict:
 
 
 def _bands(ix: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(item number, first diagonal, last diagonal, shared q-grams) of the bands that meet the lemma's bound."""
+    """(item number, first diagonal, last diagonal, shared q-grams) of the bands that meet the lemma's bound.
+
+    The bound is first put to all pairs of equal q-grams in a band, then to the item's
+    distinct q-grams among them, which is what the lemma counts.
+    """
     g = qgrams(x)
     at = np.flatnonzero(ix["bits"][slot(g)]) if len(g) else np.empty(0, np.int64)
     if not len(at):
@@ -117,68 +121,108 @@ def _bands(ix: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         return
     place = np.repeat(ix["first"][k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     item = ix["owner"][place].astype(np.int64)
-    diag = np.repeat(at, n) - ix["offset"][place] + ix["longest"]
-    width = ix["width"][item]
-    band = diag // width
-    key = np.concatenate(((item << 40) | band, (item << 40) | np.maximum(band - 1, 0)))
+    offset = ix["offset"][place]
+    band = (np.repeat(at, n) - offset + ix["longest"]) // ix["width"][item]
+    own = (item << 40) | band
+    key = np.concatenate((own, own - (band > 0)))
     key.sort()
     edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     count = np.diff(edges)
     keys = key[edges[:-1]]
-    good = count >= ix["least"][keys >> 40]
-    for kk, c in zip(keys[good].tolist(), count[good].tolist(), strict=True):
+    for kk in keys[count >= ix["least"][keys >> 40]].tolist():
         i, b = kk >> 40, kk & ((1 << 40) - 1)
-        w = int(ix["width"][i])
-        yield i, b * w - ix["longest"], (b + 2) * w - 1 - ix["longest"], c
+        shared = len(np.unique(offset[(own == kk) | (own == kk + 1)]))
+        if shared >= ix["least"][i]:
+            w = int(ix["width"][i])
+            yield i, b * w - ix["longest"], (b + 2) * w - 1 - ix["longest"], shared
+
 
+FAR = 1 << 40          # more than any number of edits, in the packed table
+ONE = 1 << 24          # an edit in the packed table; below it, the diagonal on which a path began
 
-def _align(p: np.ndarray, s: np.ndarray, anchored: bool) -> tuple[int, int]:
-    """Least edits of p against a part of s, and where that part ends (last place).
 
-    s is the band's stretch of the text, so the table is as wide as the item and the band.
-    anchored: the part begins with s; else it may begin anywhere.  One row of the table per
-    character of p; the running minimum along a row is the insertions.
+def align(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of each item p in a stretch of text x whose start diagonal lies in low..high.
+
+    Banded: the table holds the diagonals low..high only, one row per character of p.  All jobs
+    go row by row together, as one array (job x diagonal).  A cell packs its edits and the
+    diagonal on which its path began; the running minimum along a row is the insertions.
     """
-    n = len(s)
-    steps = np.arange(n + 1)
-    row = steps.copy() if anchored else np.zeros(n + 1, np.int64)
-    for i in range(len(p)):
-        new = np.empty(n + 1, np.int64)
-        new[0] = row[0] + 1
-        np.minimum(row[:-1] + (s != p[i]), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(n - row[::-1].argmin()) if anchored else int(row.argmin())
-    return int(row[end]), end
+    wide = max(high - low + 1 for _, _, low, high in jobs)
+    most = max(len(p) for p, _, _, _ in jobs)
+    text = np.full((len(jobs), most + wide), -1, np.int32)
+    item = np.full((len(jobs), most), -2, np.int32)
+    cell = np.full((len(jobs), wide), FAR, np.int64)
+    for r, (p, x, low, high) in enumerate(jobs):
+        a, b = max(0, low), min(len(x), low + most + wide)
+        if b > a:
+            text[r, a - low:b - low] = x[a:b]
+        item[r, :len(p)] = p
+        first, last = max(0, low) - low, min(high, len(x)) - low
+        cell[r, first:last + 1] = np.arange(first, last + 1)
+    steps = np.arange(wide, dtype=np.int64) * ONE
+    length = np.array([len(p) for p, _, _, _ in jobs])
+    out: list = [None] * len(jobs)
+    for i in range(most + 1):
+        for r in np.flatnonzero(length == i).tolist():
+            p, x, low, high = jobs[r]
+            ends = i + low + np.arange(wide)
+            row = np.where((ends >= 0) & (ends <= len(x)) & (np.arange(wide) <= high - low), cell[r], FAR)
+            d = int(row.argmin())
+            out[r] = (int(row[d] >> 24), int(row[d] & (ONE - 1)) + low, i + low + d)
+        if i == most:
+            break
+        seen = text[:, i:i + wide]
+        new = cell + np.where(seen == item[:, i:i + 1], 0, ONE)
+        new[seen < 0] = FAR
+        np.minimum(new[:, :-1], cell[:, 1:] + ONE, out=new[:, :-1])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        cell = new + steps
+    return out
 
 
-def matches(ix: dict, text: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(item_id, start, end, edits, shared q-grams) of every item found in a whole text.
+JOBS = 128             # alignments that run together
+HELD = 2_000_000       # characters of texts that wait for alignment
+
+
+def matches(ix: dict, texts: list[str | None]) -> list[list[tuple[int, int, int, int, int]]]:
+    """(item_id, start, end, edits, shared q-grams) of every item found, for each whole text.
 
     Bands overlap, so of regions of one item that overlap by half the one of fewest edits stays.
     """
-    x, places = normal(text)
-    found: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i, low, high, shared in _bands(ix, x):
-        _, p, k = ix["items"][i]
-        m = len(p)
-        a, b = max(0, low), min(len(x), high + m + k + 1)
-        part = x[a:b]
-        if len(part) < m - k:
-            continue
-        edits, end = _align(p, part, False)
-        if edits > k or not end:
-            continue
-        back = part[max(0, end - m - k):end][::-1]
-        _, size = _align(p[::-1], back, True)
-        found.setdefault(i, []).append((edits, a + end - size, a + end, shared))
-    out = []
-    for i, rows in found.items():
-        kept: list[tuple[int, int, int, int]] = []
-        for r in sorted(rows):
-            if all(min(r[2], o[2]) - max(r[1], o[1]) <= (r[2] - r[1]) / 2 for o in kept):
-                kept.append(r)
-        out += [(ix["items"][i][0], int(places[s]), int(places[e - 1]) + 1, edits, shared) for edits, s, e, shared in kept]
-    return sorted(out, key=lambda r: (r[1], r[0]))
+    out: list = [[] for _ in texts]
+    wait: list = []
+    held = 0
+    for r, text in enumerate(texts):
+        x, places = normal(text)
+        found = list(_bands(ix, x))
+        wait += [(r, x, places, *f) for f in found]
+        held += len(x) if found else 0
+        if held > HELD:
+            _settle(ix, wait, out)
+            wait, held = [], 0
+    _settle(ix, wait, out)
+    return out
+
+
+def _settle(ix: dict, wait: list, out: list) -> None:
+    """Align what waits, items of like length together, and put the regions that verify into ``out``."""
+    wait.sort(key=lambda c: (len(ix["items"][c[3]][1]), c[0], c[3], c[4]))
+    regions: dict = {}
+    for s in range(0, len(wait), JOBS):
+        part = wait[s:s + JOBS]
+        for (r, _, places, i, _, _, shared), (edits, start, end) in zip(
+                part, align([(ix["items"][c[3]][1], c[1], c[4], c[5]) for c in part]), strict=True):
+            if edits <= ix["items"][i][2] and end > start:
+                regions.setdefault((r, i), []).append((edits, start, end, shared, places))
+    for (r, i), rows in sorted(regions.items()):
+        kept: list = []
+        for row in sorted(rows, key=lambda t: t[:3]):
+            if all(min(row[2], o[2]) - max(row[1], o[1]) <= (row[2] - row[1]) / 2 for o in kept):
+                kept.append(row)
+        for edits, start, end, shared, places in sorted(kept, key=lambda t: t[1]):
+            out[r].append((ix["items"][i][0], int(places[start]), int(places[end - 1]) + 1, edits, shared))
 
 
 def _indexes(benchmark: DataFrame, edits: float, most: int) -> Iterator[dict]:
@@ -210,7 +254,7 @@ def _finder(ix, names: list[str], leaks: str = "leaks"):
 
     def run(batches):
         for b in batches:
-            rows = [[dict(zip(keys, r, strict=True)) for r in matches(ix.value, t)] for t in b.column("text").to_pylist()]
+            rows = [[dict(zip(keys, r, strict=True)) for r in found] for found in matches(ix.value, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(rows, kind)], names=[*names, leaks])
     return run
 
