@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,13 +193,27 @@ def _verifier(k: int, least: int, threshold: float):
     return run
 
 
+PACKED = "t1 long, t2 long, row long, packed binary"
+
+
+def _pack(batches):
+    """Texts as zstd frames, which is what the shuffle to the candidates moves."""
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("row", pa.int64()), ("packed", pa.binary())])
+    press = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        packed = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("t1"), b.column("t2"), b.column("row"), pa.array(packed, pa.binary())], schema=schema)
+
+
 def _gram_sets(k: int):
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
+        press = zstandard.ZstdDecompressor()
         for b in batches:
-            sets = [shingles.shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(sets, pa.binary())], schema=schema)
+            texts = (press.decompress(z).decode("utf-8", "surrogatepass") for z in b.column("packed").to_pylist())
+            yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array([shingles.shingle_set(t, k).tobytes() for t in texts], pa.binary())],
+                                  schema=schema)
     return run
 
 
@@ -225,8 +240,9 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
     wanted = store.save(comp.join(sized, "component").join(classes.select(
         F.col("cid").alias("node"), "copies", "sig", "first.t1", "first.t2", "first.doc_id"), "node"), "jaccard-wanted")
     row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
-    texts = _keyed(docs).select("t1", "t2", row, "text").join(wanted.select("t1", "t2", row), ["t1", "t2", "row"], "left_semi")
-    texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = _keyed(docs).select("t1", "t2", row, "text").mapInArrow(_pack, PACKED)
+    texts = texts.join(wanted.select("t1", "t2", row).hint("merge"), ["t1", "t2", "row"], "left_semi")
+    texts = texts.groupBy("t1", "t2").agg(F.first("packed").alias("packed"))
     grams = store.save(texts.mapInArrow(_gram_sets(k), "t1 long, t2 long, grams binary"), "jaccard-grams")
     sets = wanted.join(grams, ["t1", "t2"]).select(F.col("node").alias("cid"), "component", "m", "copies", "sig", "grams")
     cells = graph.cells(sets, "component", "cid", "m", BLOCK).drop("component")
