@@ -5,9 +5,9 @@ bound.  Directions are all combinations of one random codeword per block of coor
 (after a random rotation), so a vector's filters are list-decoded block by block, dropping
 partial sums that cannot reach the bound, without looking at all directions.
 
-``plan_code`` picks bound and number of directions from the number of vectors: a filter
-holds about ``bucket`` unrelated vectors, and a pair at the threshold shares ``mean``
-filters on average.  Vectors join on filters, in bounded blocks, and every pair is verified
+``plan_code`` picks bound, number of directions and number of independent codes from the
+number of vectors: a filter holds about ``bucket`` unrelated vectors, a pair at the threshold
+shares some ``mean`` filters, and codes are added until no simulated pair shares none.  Vectors join on filters, in bounded blocks, and every pair is verified
 in double precision.  The verified links give connected components; inside a component all
 pairs are verified again, in blocks, each pair once, which gives the exact link counts.
 Equal vectors are one class from the start and are not expanded into pairs.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 import math
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,24 @@ QUERY = "op9_spherical_caps"
 ORACLE_SQL = None     # all pairs in SQL are too slow on whole tables; tested against them on a fixture
 
 BLOCK = 512
+HIGHEST = 0.6         # bound at most: in few dimensions no direction need be closer
 
 
-def plan_code(n: int, threshold: float, bucket: int = 256, mean: float = 20.0, most: int = 192) -> tuple[int, int, float]:
-    """(blocks, codewords per block, bound in standard deviations) for n vectors."""
+class Plan(NamedTuple):
+    """Independent codes, blocks of each, codewords per block, and the least inner product with a direction."""
+    codes: int
+    blocks: int
+    words: int
+    limit: float
+
+
+def plan_code(n: int, dim: int, threshold: float, bucket: int = 256, mean: float = 20.0, pairs: int = 2000, most: int = 192) -> Plan:
+    """The plan for n vectors of ``dim`` components.
+
+    Sixteenths of the ``mean`` shared filters come from each code; codes are added until none
+    of ``pairs`` random pairs at the threshold shares no filter (at 95 % confidence a recall of
+    1 - 3 / pairs, for pairs at the threshold itself), and a quarter more.
+    """
     normal = NormalDist()
     p = min(0.02, bucket / max(n, 1))
     bound = normal.inv_cdf(1 - p)
@@ -51,19 +66,32 @@ def plan_code(n: int, threshold: float, bucket: int = 256, mean: float = 20.0, m
     grid = np.linspace(bound, bound + 6, 600)
     density = np.array([normal.pdf(z) for z in grid])
     both = float(sum(d * (1 - normal.cdf((bound - threshold * z) / rest)) for z, d in zip(grid, density, strict=True)) * (grid[1] - grid[0]))
-    total = mean / both
-    blocks = 2
-    while total ** (1 / blocks) > most:
+    total = mean / 16 / both
+    blocks = min(2, dim)
+    while total ** (1 / blocks) > most and blocks < dim:
         blocks += 1
-    return blocks, math.ceil(total ** (1 / blocks)), bound
-
-
-@functools.lru_cache(maxsize=8)
-def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
+    words = max(2, math.ceil(total ** (1 / blocks)))
+    r = np.random.default_rng(11)
+    x = r.standard_normal((pairs, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.standard_normal((pairs, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    y = threshold * x + rest * z if dim > 1 else x.copy()
+    limit, codes = min(bound / math.sqrt(dim), HIGHEST), 0
+    while len(x) and codes < 256:
+        a, b = (_decode_one(v, codes, blocks, words, limit) for v in (x, y))
+        missed = np.array([not np.isin(i, j).any() for i, j in zip(a, b, strict=True)])
+        x, y = x[missed], y[missed]
+        codes += 1
+    return Plan(math.ceil(1.25 * codes), blocks, words, limit)
+
+
+@functools.lru_cache(maxsize=512)
+def code(dim: int, blocks: int, words: int, which: int = 0) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
     """Rotation, and the codewords of each block of coordinates (norm 1 / sqrt(blocks))."""
-    r = np.random.default_rng((dim, blocks, words))
+    r = np.random.default_rng((dim, blocks, words, which))
     rot, _ = np.linalg.qr(r.standard_normal((dim, dim)))
-    blocks = min(blocks, dim)
     cuts = np.linspace(0, dim, blocks + 1).astype(int)
     books = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -72,25 +100,30 @@ def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray
     return rot, books, [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def list_decode(x: np.ndarray, dim: int, blocks: int, words: int, bound: float) -> list[np.ndarray]:
-    """The filters that each unit vector (row) passes, as codes in base ``words``."""
-    rot, books, cuts = code(dim, blocks, words)
+def _decode_one(x: np.ndarray, which: int, blocks: int, words: int, limit: float) -> list[np.ndarray]:
+    """The filters of one code that each unit vector (row) passes, as numbers in base ``words``."""
+    dim = x.shape[1]
+    rot, books, cuts = code(dim, min(blocks, dim), words, which)
     y = x @ rot
     scores = [y[:, c] @ b.T for c, b in zip(cuts, books, strict=True)]
-    best_rest = [np.zeros(len(x))]
+    rest = [np.zeros(len(x))]
     for s in reversed(scores[1:]):
-        best_rest.append(best_rest[-1] + s.max(axis=1))
-    best_rest.reverse()
-    limit = bound / math.sqrt(dim)
-    out = []
-    for r in range(len(x)):
-        ids, sums = np.zeros(1, np.int64), np.zeros(1)
-        for k, s in enumerate(scores):
-            total = sums[:, None] + s[r][None, :]
-            a, b = np.nonzero(total >= limit - best_rest[k][r])
-            ids, sums = ids[a] * words + b, total[a, b]
-        out.append(ids)
-    return out
+        rest.append(rest[-1] + s.max(axis=1))
+    rest.reverse()
+    row = np.arange(len(x))
+    ids, sums = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for s, most in zip(scores, rest, strict=True):         # partial sums of all rows, block by block
+        total = sums[:, None] + s[row]
+        a, b = np.nonzero(total >= (limit - most[row])[:, None])
+        row, ids, sums = row[a], ids[a] * words + b, total[a, b]
+    return np.split(ids, np.searchsorted(row, np.arange(1, len(x))))
+
+
+def list_decode(x: np.ndarray, plan: Plan) -> list[np.ndarray]:
+    """The filters of all codes that each unit vector (row) passes."""
+    per_code = [_decode_one(x, c, plan.blocks, plan.words, plan.limit) for c in range(plan.codes)]
+    size = plan.words ** plan.blocks
+    return [np.concatenate([ids + c * size for c, ids in enumerate(lists)]) for lists in zip(*per_code, strict=True)]
 
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
@@ -124,7 +157,7 @@ def _reader(kind: str):
     return run
 
 
-def _filters(kind: str, blocks: int, words: int, bound: float):
+def _filters(kind: str, plan: Plan):
     schema = pa.schema([("cid", pa.int64()), ("filters", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -133,7 +166,7 @@ def _filters(kind: str, blocks: int, words: int, bound: float):
             lists: list = [None] * batch.num_rows
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                found = list_decode(_units(raw.take(pa.array(rows)).to_pylist(), kind), dim, blocks, words, bound)
+                found = list_decode(_units(raw.take(pa.array(rows)).to_pylist(), kind), plan)
                 for r, ids in zip(rows.tolist(), found, strict=True):
                     lists[r] = ids * 4096 + dim % 4096
             yield pa.record_batch([batch.column("cid"), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
@@ -198,14 +231,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     first = F.min(F.struct(F.col("vec_id").isNull().alias("void"), "vec_id"))
     classes = signed.where("dim > 0").groupBy("k1", "k2", "dim").agg(first.alias("first"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes = store.save(classes.withColumn("cid", F.monotonically_increasing_id()), "caps-classes")
-    blocks, words, bound = plan_code(classes.count(), threshold)
+    usual = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    plan = plan_code(classes.count(), usual.dim if usual else 1, threshold)
 
-    met = store.save(classes.select("cid", "dim", "raw").mapInArrow(_filters(kind, blocks, words, bound), "cid long, filters array<long>").select(
+    met = store.save(classes.select("cid", "dim", "raw").mapInArrow(_filters(kind, plan), "cid long, filters array<long>").select(
         "cid", F.explode("filters").alias("filter")), "caps-filters")
     full = met.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
     held = graph.cells(met.join(full, "filter"), "filter", "cid", "m", BLOCK).drop("filter")
     held = graph.by_cell(held.join(classes.select("cid", "dim", "raw"), "cid"))
-    comp = store.save(graph.components(held.mapInArrow(_verified(kind, threshold), "a long, b long"), "caps"), "caps-components")
+    comp = store.save_small(graph.components(held.mapInArrow(_verified(kind, threshold), "a long, b long"), "caps"), "caps-components")
 
     sized = comp.groupBy("component").agg(F.count("*").alias("m"))
     member = comp.join(sized, "component").withColumnRenamed("node", "cid").join(classes.select("cid", "dim", "raw", "copies"), "cid")
@@ -215,7 +249,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     per = classes.select("cid", "k1", "k2", "first", "copies").join(links, "cid", "left").join(
         comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = per.groupBy("component").agg(F.min("first").alias("least"))
-    per = store.save(per.join(least, "component").select("k1", "k2", F.col("least.vec_id").alias("component_id"), (
+    per = store.save_small(per.join(least, "component").select("k1", "k2", F.col("least.vec_id").alias("component_id"), (
         F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "caps-per")
     linked = signed.where("dim > 0").select("vec_id", "k1", "k2").join(per, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = signed.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

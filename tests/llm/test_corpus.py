@@ -129,18 +129,21 @@ def test_list_decoding_is_exact():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((20, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rot, books, cuts = cap_filters.code(12, 3, 6)
-    y = x @ rot
-    full = sum(np.ix_(*([range(6)] * 3))[0] * 0 + (y[:, c] @ b.T).reshape([20] + [6 if j == k else 1 for j in range(3)])
-               for k, (c, b) in enumerate(zip(cuts, books, strict=True)))
-    for r, ids in enumerate(cap_filters.list_decode(x, 12, 3, 6, 1.2)):
-        assert sorted(ids.tolist()) == np.flatnonzero(full[r].ravel() >= 1.2 / np.sqrt(12)).tolist()
-
-
-@pytest.mark.parametrize("n", [500, 50_000, 10 ** 9])
-def test_code_grows_with_the_input(n):
-    blocks, words, bound = cap_filters.plan_code(n, 0.9)
-    assert words <= 192 and words ** blocks > 100 and (1 - 0.5 * (1 + np.math.erf(bound / 2 ** 0.5)) if hasattr(np, "math") else bound > 1)
+    plan = cap_filters.Plan(2, 3, 6, 0.35)
+    full = []
+    for which in range(2):
+        rot, books, cuts = cap_filters.code(12, 3, 6, which)
+        u, v, w = ((x @ rot)[:, c] @ b.T for c, b in zip(cuts, books, strict=True))
+        full.append((u[:, :, None, None] + v[:, None, :, None] + w[:, None, None, :]).reshape(20, -1))
+    full = np.concatenate(full, axis=1)
+    for r, ids in enumerate(cap_filters.list_decode(x, plan)):
+        assert ids.tolist() == np.flatnonzero(full[r] >= 0.35).tolist()
+
+
+@pytest.mark.parametrize("n,dim", [(0, 1), (500, 3), (50_000, 64), (10 ** 6, 128)])
+def test_code_grows_with_the_input(n, dim):
+    plan = cap_filters.plan_code(n, dim, 0.9, pairs=300)
+    assert plan.blocks <= dim and 1 <= plan.codes < 256 and plan.words <= 192 and plan.limit <= 0.6
 
 
 def distance_inside(p, s):
