@@ -115,10 +115,12 @@ def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:
     d, a, b, x, y = store.fresh(docs, "d", "a", "b", "x", "y")
     live = store.save(scan(docs, min_owners=min_owners).where("n_live > 0").select(
         F.col("repo").alias(d), F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct(), "secrets-live")
-    key = store.text_key(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({x: key["a"], y: key["b"]})
+    text = F.coalesce("text", F.lit(""))
+    some = text.rlike(PATTERNS["assign"]) | text.rlike(PATTERNS["access"]) | text.rlike(PATTERNS["hex"])
+    key = store.text_key(text)
+    keyed = docs.where(some).withColumns({x: key["a"], y: key["b"]})      # only texts with a match are shuffled
     same = (F.col(x) == F.col(a)) & (F.col(y) == F.col(b)) & F.col("doc_id").eqNullSafe(F.col(d))
-    return keyed.join(live, same, "left_anti").select(*docs.columns)
+    return keyed.join(live.hint("merge"), same, "left_anti").select(*docs.columns).unionByName(docs.where(~some))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
