@@ -114,10 +114,12 @@ def _write(batches):
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, refers: the largest page_id of the equal payload (null for responses)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("key", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha2("html", 256)))
-    last = p.where("key is not null").groupBy("key").agg(F.max("page_id").alias("last"))
-    p = p.join(last, "key", "left")
-    return p.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    small = F.octet_length("html") < LEAST_REVISIT
+    big = p.where(~small).withColumn("key", F.sha2("html", 256))
+    last = big.groupBy("key").agg(F.max("page_id").alias("last"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    return big.join(last, "key").select("page_id", "url", "html", refers.alias("refers")).unionByName(
+        p.where(small).withColumn("refers", F.lit(None).cast("long")))
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
@@ -211,10 +213,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archive(store.table(spark, sf_dir, "pages"), path)
     back = store.save(reassemble(read_records(spark, path)).select("page_id", "type", "digest", "refers", "complete",
                                                                   F.octet_length("payload").cast("long").alias("bytes")), "warc-read")
-    own = back.where("type = 'response'").groupBy(F.col("page_id").alias("refers"), "digest").agg(F.max("bytes").alias("of_response"))
-    out = back.join(own, ["refers", "digest"], "left")
-    return out.select("page_id", F.coalesce("bytes", "of_response").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-                      F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+    responses = back.where("type = 'response'")
+    own = responses.groupBy(F.col("page_id").alias("refers"), "digest").agg(F.max("bytes").alias("of_response"))
+    revisits = back.where("type = 'revisit'").drop("bytes").join(own, ["refers", "digest"], "left").withColumnRenamed("of_response", "bytes")
+    return responses.unionByName(revisits).select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                                                  F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
 ORACLE_SQL = f"""

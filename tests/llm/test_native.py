@@ -95,7 +95,7 @@ def test_mix(spark, many):
 def test_mix_probabilities(spark):
     """Over seeds each document's mean number of copies is the ratio of its source."""
     df = docs(spark, [(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(40)])
-    tot, runs = defaultdict(int), 12
+    tot, runs = defaultdict(int), 6
     for seed in range(runs):
         for r in source_mix.mix(df, seed=seed, fan=8).collect():
             tot[r.source] += r.copies / runs / 20
