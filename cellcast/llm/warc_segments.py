@@ -142,7 +142,7 @@ def parse(data: bytes) -> Iterator[tuple]:
         block = data[end + 4:end + 4 + n]
         at = end + 4 + n
         num = lambda k: int(fields[k]) if k in fields else None
-        yield (fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), fields["WARC-Type"], num("WARC-Segment-Number") or 1,
+        yield (fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), fields["WARC-Type"], num("WARC-Segment-Number"),
                num("WARC-Segment-Total-Length"), num("Page-Id"), fields.get("WARC-Payload-Digest"), num("Refers-To-Page"), block)
 
 
@@ -176,7 +176,7 @@ def assemble(parts: list[dict]) -> tuple | None:
     if first["type"] == "continuation":
         return None
     block = b"".join(p["block"] for p in parts)
-    whole = [p["segment"] for p in parts] == list(range(1, len(parts) + 1))
+    whole = [p["segment"] or 1 for p in parts] == list(range(1, len(parts) + 1))
     if len(parts) > 1 or parts[-1]["total"] is not None:
         whole = whole and parts[-1]["total"] == len(block)
     payload = None
@@ -189,9 +189,18 @@ def assemble(parts: list[dict]) -> tuple | None:
 
 
 def _assemble(batches):
+    """Records from their consecutive segments."""
+    return _records(assemble(t.to_pylist()) for t in graph.groups(batches, ["origin"]))
+
+
+def _decode(batches):
+    """Records that are whole as they are."""
+    return _records(assemble([r]) for b in batches for r in b.to_pylist())
+
+
+def _records(done):
     rows, size = [], 0
-    for t in graph.groups(batches, ["origin"]):
-        r = assemble(t.to_pylist())
+    for r in done:
         if r is None:
             continue
         rows.append(r)
@@ -204,8 +213,12 @@ def _assemble(batches):
 
 
 def reassemble(read: DataFrame) -> DataFrame:
-    """One row per record: page_id, type, digest, refers, segments, complete, payload."""
-    return read.repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(_assemble, DONE)
+    """One row per record: page_id, type, digest, refers, segments, complete, payload.
+
+    Only the segments of split records are shuffled; a record without a segment number is whole.
+    """
+    parts = read.where("segment is not null").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(_assemble, DONE)
+    return read.where("segment is null").mapInArrow(_decode, DONE).unionByName(parts)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
