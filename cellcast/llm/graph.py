@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellcast.llm import store
@@ -80,21 +80,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """edges: a, b (long).  Returns node, component (the smallest node reachable); only nodes with an edge."""
-    pair = [F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")]
-    e = store.save(edges.where("a <> b").select(*pair).distinct(), f"{label}-edges")
-    seen = None
-    while True:
+    """edges: a, b (long).  Returns node, component (the smallest node reachable); only nodes with an edge.
+
+    A large-star round joins every neighbour that is larger than a node to the smallest one
+    around it; the node may be a hub, so that is a pre-aggregated minimum and a join, which
+    Spark can split.  A small-star round does the same for a node's smaller neighbours, which
+    are few after a large-star.  It ends when every node hangs on one root that hangs on none.
+    """
+    e = store.save_small(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-edges")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = store.save(large, f"{label}-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = store.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{label}-small")
-        now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-        if now == seen:
-            break
-        seen = now
+        m = F.min("v").over(Window.partitionBy("u"))
+        small = large.select("u", "v", m.alias("m")).select(F.explode(F.array(
+            F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = store.save_small(small.where("u <> v").distinct(), f"{label}-round")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether no node has two edges downwards, or one down and one up."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(2).alias("w")), F.struct(F.col("v").alias("x"), F.lit(1).alias("w")))).alias("e"))
+    per = ends.select("e.*").groupBy("x").agg(F.count(F.when(F.col("w") == 2, 1)).alias("down"), F.max(F.when(F.col("w") == 1, 1)).alias("up"))
+    return per.where("down > 1 or (down = 1 and up = 1)").agg(F.count("*")).first()[0] == 0

@@ -231,13 +231,13 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
     met = classes.select("cid", F.explode(F.array_distinct("bands")).alias("bucket"))
     full = met.groupBy("bucket").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.sum(
         F.pmod(F.xxhash64(F.lit("s"), "cid"), F.lit(1 << 31))).alias("s")).where("m > 1")
-    once = store.save(full.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "jaccard-buckets")
+    once = store.save_small(full.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "jaccard-buckets")
     held = graph.cells(met.join(once, "bucket"), "bucket", "cid", "m", BUCKET_BLOCK).join(classes.select("cid", "sig"), "cid")
     cand = graph.by_cell(held.select("g", "i", "j", "b", "cid", "sig")).mapInArrow(_candidates(least), "a long, b long")
-    comp = store.save(graph.components(cand, "jaccard-candidates"), "jaccard-components")
+    comp = store.save_small(graph.components(cand, "jaccard-candidates"), "jaccard-components")
 
     sized = comp.groupBy("component").agg(F.count("*").alias("m"))
-    wanted = store.save(comp.join(sized, "component").join(classes.select(
+    wanted = store.save_small(comp.join(sized, "component").join(classes.select(
         F.col("cid").alias("node"), "copies", "sig", "first.t1", "first.t2", "first.doc_id"), "node"), "jaccard-wanted")
     row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
     texts = _keyed(docs).select("t1", "t2", row, "text").mapInArrow(_pack, PACKED)
@@ -253,7 +253,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
         links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(
         groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least_id = per.groupBy("component").agg(F.min("first").alias("least"))
-    per = store.save(per.join(least_id, "component").select(
+    per = store.save_small(per.join(least_id, "component").select(
         "k1", "k2", F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("least")), "jaccard-per")
     cols = ["doc_id", "t1", "t2", "class_id", "n_links", "component_id", "kept"]
@@ -266,7 +266,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     """docs with one document of each component; all columns pass through."""
     row = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     r, a, b = key = store.fresh(docs, "row", "ta", "tb")
-    kept = store.save(join(docs, threshold, k, recall).where("kept").select(row.alias(r), F.col("t1").alias(a), F.col("t2").alias(b)).distinct(),
+    kept = store.save_small(join(docs, threshold, k, recall).where("kept").select(row.alias(r), F.col("t1").alias(a), F.col("t2").alias(b)).distinct(),
                       "jaccard-kept")
     keyed = docs.withColumns({r: row, a: F.xxhash64(F.lit("a"), "text"), b: F.xxhash64(F.lit("b"), "text")})
     return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
