@@ -5,9 +5,13 @@ are hashed into ``BUCKETS`` rows of an embedding table; the mean of a text's row
 through a linear softmax.  Both layers are trained together by mini-batch gradient descent
 in numpy on a bounded sample of labelled rows (``sample`` rows at most, the ones of least
 hash).  A fifth of the sample is kept for calibration: a temperature that makes the scores
-probabilities, and a rejection bound that a ``reject`` share of calibration texts falls
-below (and never above half of one in two).  As both layers are linear, prediction needs
-only their product, a table of BUCKETS x languages, which is bounded by its parameters.
+probabilities, and two rejection bounds, each with a ``reject`` share of new texts of the
+learned languages below it.  One is on how familiar a text is: the mean log probability of
+its n-grams in the language they fit best, less that of the language's own texts, times the
+root of their number; it rejects languages, scripts and letter salads that were never
+learned, and each fifth in turn is calibrated by the others' n-grams.  The other is on the log odds of the score, and at most even odds: it rejects texts
+whose language is unclear by more than that of calibration texts.  As both layers are linear, prediction needs only their product and the log probabilities, two tables of
+BUCKETS x languages, which are bounded by their parameters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected;
 if no labelled row can be learned from, every text is; lang, source and doc_id are never
@@ -18,6 +22,7 @@ result; other columns pass through unchanged, whatever their names.
 from __future__ import annotations
 
 import functools
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,8 @@ ORACLE_SQL = None      # a trained model; tested by held-out accuracy
 BUCKETS = 4096
 WIDTH = 16
 SAMPLE = 4000          # labelled rows at most
-REJECT = 0.001         # share of calibration texts below the rejection bound
+REJECT = 0.001         # share of texts of the learned languages below either rejection bound
+LONG = 10_000          # n-grams beyond which a text's mean log probability varies no less
 U = np.uint64
 
 
@@ -100,12 +106,47 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def log_odds(z: np.ndarray) -> np.ndarray:
+    """Log odds of each row's largest logit against the others together; 0 for one language."""
+    z = np.sort(z, axis=1)
+    if z.shape[1] < 2:
+        return np.zeros(len(z))
+    top, rest = z[:, -1], z[:, :-1]
+    return top - rest[:, -1] - np.log(np.exp(rest - rest[:, -1:]).sum(axis=1))
+
+
+def log_shares(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Log probability of each bucket in each of n languages: its share, smoothed by that of all texts."""
+    back = x.sum(axis=0, dtype=np.float64) + 1 / BUCKETS
+    back /= back.sum()
+    own = np.stack([x[y == k].sum(axis=0, dtype=np.float64) for k in range(n)], axis=1)
+    weight = np.maximum(1, 0.05 * np.bincount(y, minlength=n))
+    return np.log((own + weight * back[:, None]) / (own.sum(axis=0) + weight))
+
+
+def familiarity(share: np.ndarray, size: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Each text's mean log probability less the language's own, in the language that it fits best; spread evened out over ``size`` n-grams."""
+    own = (np.exp(logs) * logs).sum(axis=0)
+    return (share @ logs - own).max(axis=1) / np.sqrt(1 / size + 1 / LONG)
+
+
+def lower_bound(v: np.ndarray, share: float) -> float:
+    """A bound that at most about ``share`` of new values fall below: the quantile of ``v``, or the normal
+    prediction bound (Student's t) where that is lower, as it is if the values are too few for the quantile."""
+    n = len(v)
+    if n < 2:
+        return -np.inf
+    z, f = NormalDist().inv_cdf(1 - share), n - 1
+    t = z + (z ** 3 + z) / (4 * f) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * f ** 2)
+    return float(min(np.quantile(v, share, method="lower"), v.mean() - t * v.std(ddof=1) * np.sqrt(1 + 1 / n)))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT, epochs: int = 60, rate: float = 0.5, batch: int = 32) -> dict:
-    """The model: languages, table (BUCKETS x languages), bias, bound below which a score is rejected."""
+    """The model: languages, table (BUCKETS x languages), bias, logs (log probabilities), and the bounds of log odds and familiarity."""
     rows = sorted(labelled_sample(docs, sample).toLocalIterator(), key=lambda r: (r.h, r.lang))
     langs = sorted({r.lang for r in rows})
     if not rows:
-        return {"langs": [], "table": np.zeros((BUCKETS, 0)), "bias": np.zeros(0), "bound": 1.0}
+        return {"langs": [], "table": np.zeros((BUCKETS, 0)), "bias": np.zeros(0), "logs": np.zeros((BUCKETS, 0)), "bounds": (np.inf, np.inf)}
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, r.at] = np.array(r.n, np.float32) / sum(r.n)
@@ -131,26 +172,33 @@ def train(docs: DataFrame, sample: int = SAMPLE, reject: float = REJECT, epochs:
     cal = np.flatnonzero(aside) if aside.any() else fit
     z = x[cal] @ table + bias
     heat = min(np.geomspace(0.05, 5, 60), key=lambda t: -np.log(softmax(z / t)[np.arange(len(cal)), y[cal]] + 1e-12).mean())
-    top = softmax(z / heat).max(axis=1)
-    return {"langs": langs, "table": table / heat, "bias": bias / heat, "bound": float(min(np.quantile(top, reject), 0.5 * max(0.5, 1 / len(langs))))}
+    fold, size, known = np.arange(len(rows)) % 5, np.array([sum(r.n) for r in rows]), np.zeros(len(rows))
+    for k in range(5 if aside.any() else 0):
+        known[fold == k] = familiarity(x[fold == k], size[fold == k], log_shares(x[fold != k], y[fold != k], len(langs)))
+    known, logs = known if aside.any() else known[:0], log_shares(x, y, len(langs))
+    bounds = (min(0.0, lower_bound(log_odds(z / heat), reject)), lower_bound(known, reject))
+    return {"langs": langs, "table": table / heat, "bias": bias / heat, "logs": logs, "bounds": bounds}
 
 
 def _predict(model: dict, fields: list[str], names: tuple):
-    langs, table, bias, bound = (model[k] for k in ("langs", "table", "bias", "bound"))
+    langs, table, bias, logs, bounds = (model[k] for k in ("langs", "table", "bias", "logs", "bounds"))
 
     def run(batches):
         for b in batches:
-            pred, score = [], []
+            pred, score, rejected = [], [], []
             for text in b.column("text").to_pylist():
                 c = counts(text) if langs else None
                 if c is None:
                     pred.append("und")
                     score.append(0.0)
+                    rejected.append(True)
                     continue
-                p = softmax(((c / c.sum()) @ table + bias)[None, :])[0]
-                pred.append(langs[int(p.argmax())])
-                score.append(float(p.max()))
-            extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([s < bound or p == "und" for p, s in zip(pred, score, strict=True)], pa.bool_())]
+                share = (c / c.sum())[None, :]
+                z = share @ table + bias
+                pred.append(langs[int(z.argmax())])
+                score.append(float(softmax(z).max()))
+                rejected.append(bool(log_odds(z)[0] < bounds[0] or familiarity(share, c.sum(keepdims=True), logs)[0] < bounds[1]))
+            extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*[b.column(f) for f in fields], *extra], names=[*fields, *names])
     return run
 

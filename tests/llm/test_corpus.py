@@ -347,3 +347,18 @@ def test_queries_and_sql(spark):
             names = [c[0] for c in cur.description]
             want = sorted(str([round(r[names.index(c)], 9) if isinstance(r[names.index(c)], float) else r[names.index(c)] for c in cols]) for r in cur.fetchall())
             assert sorted(str([round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols]) for r in df.collect()) == want, name
+
+
+def test_language_rejection(spark):
+    """Unlearned languages, scripts and random letters go, from the given documents' model; 99 % of held-out labelled documents stay."""
+    r = random.Random(11)
+    odd = {1: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", 2: "Все люди рождаются свободными и равными в своем достоинстве.",
+           3: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+           4: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(30)), 5: "x" * 5000}
+    for sf in (SF, "/root/testdata/sf0.01"):
+        d = store.table(spark, sf, "documents")
+        model = language_id.train(d)
+        assert language_id.recognised(docs(spark, odd.items()), model).count() == 0
+        held = d.where(language_id.held_out() & F.col("lang").isNotNull())
+        assert language_id.recognised(held, model).count() >= 0.99 * held.count()
+        assert language_id.recognised(d, model).count() >= 0.99 * d.count()
