@@ -8,7 +8,10 @@
    full key, so a value that a third of all documents hold is no hot task.
 3. *Verdict.*  A value held by ``min_owners`` owners or more is a widely copied example
    (``copied``); otherwise, if it looks random, it is an owner-specific live credential
-   (``live``).  The rest stays a base span only.
+   (``live``).  The rest stays a base span only.  That is the query's verdict, as its SQL
+   has it.  ``verdicts`` and ``without_live`` judge every base value: one that is not
+   copied is live unless it holds a placeholder word or its characters say too little
+   (entropy times length below the bound of its kind).
 
 Defined results: null text counts as empty; a null owner or repository is a value of its
 own; repeated rows each get their own row; an empty table gives an empty result; columns
@@ -32,7 +35,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{32,}",
 }
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,vstart:int,hash:string,random:boolean>>"
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int,vstart:int,hash:string,random:boolean,held:boolean>>"
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|xxxx|your"
 
 
@@ -42,6 +45,21 @@ def looks_random(value):
     return ((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
             & (F.size(F.filter(chars, lambda c: c != "")) >= 8) & ~value.rlike(PLACEHOLDER))
 
+#: Of verdicts(): least bits of a live value by kind (8 characters, 4 of them different; runs of a few characters have less), and placeholder words.
+BITS = {"assign": 16.0, "access": 24.0, "hex": 32.0}
+PLACEHOLDER_WORD = r"(?:^|[^A-Za-z])(?i:example|changeme|placeholder|dummy|sample|your|x{4,})(?:$|[^A-Za-z])"
+
+
+def bits(value):
+    """Entropy of the value's characters times its length, the graded score of randomness."""
+    n = F.length(value).cast("double")
+    chars = F.filter(F.array_distinct(F.split(value, "")), lambda c: c != "")
+
+    def step(acc, c):
+        k = n - F.length(F.replace(value, c, F.lit("")))
+        return acc + k * F.log2(n / k)
+    return F.aggregate(chars, F.lit(0.0), step)
+
 
 def _spans(text, kind: str, matches, values):
     """Spans of one kind: running lengths of the pieces between matches and of the matches."""
@@ -54,7 +72,8 @@ def _spans(text, kind: str, matches, values):
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
                         (end - F.length(x["val"])).alias("vstart"), F.sha2(x["val"], 256).alias("hash"),
-                        looks_random(x["val"]).alias("random"))
+                        looks_random(x["val"]).alias("random"),
+                        ((bits(x["val"]) >= BITS[kind]) & ~x["val"].rlike(PLACEHOLDER_WORD)).alias("held"))
         keep = F.length(x["val"]) >= LEAST[kind]
         return F.struct(end.alias("pos"),
                         F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
@@ -102,7 +121,7 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str
         "kind", F.when(F.col("n_owners") >= min_owners, "copied").when(F.col("random"), "live"))
     added = judged.where(F.col("kind").isNotNull()).groupBy("rid").agg(F.collect_set(F.struct(
         F.col("vstart").alias("start"), F.when(F.col("kind") == "live", 3).otherwise(4).alias("rank"),
-        "kind", "end", "vstart", "hash", "random")).cast(SPAN).alias("added"))
+        "kind", "end", "vstart", "hash", "random", F.col("random").alias("held"))).cast(SPAN).alias("added"))
     empty = F.array().cast(SPAN)
     out = found.join(added, "rid", "left").withColumn("added", F.coalesce("added", empty))
     return out.select("repo", "owner", "key", F.col("spans").alias("base"),
@@ -110,10 +129,19 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str
                       *[_count("added", k) for k in ("live", "copied")])
 
 
+def verdicts(docs: DataFrame, min_owners: int = 3) -> DataFrame:
+    """One row per base span of each document: repo, owner, key, kind, start, end (of the value), hash, n_owners, n_repos, verdict (copied, live or null)."""
+    found = store.save(extract(docs), "secrets")
+    values = found.select("repo", "owner", "key", F.explode("spans").alias("s")).select(
+        "repo", "owner", "key", "s.kind", F.col("s.vstart").alias("start"), "s.end", "s.hash", "s.held")
+    return values.join(ownership(found), "hash").withColumn("verdict", F.when(F.col("n_owners") >= min_owners, "copied").when(
+        F.col("held"), "live")).drop("held")
+
+
 def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:
     """docs (columns doc_id, source, text and any others) without those that hold a live credential."""
     d, a, b, x, y = store.fresh(docs, "d", "a", "b", "x", "y")
-    live = store.save(scan(docs, min_owners=min_owners).where("n_live > 0").select(
+    live = store.save(verdicts(docs, min_owners).where("verdict = 'live'").select(
         F.col("repo").alias(d), F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct(), "secrets-live")
     text = F.coalesce("text", F.lit(""))
     some = text.rlike(PATTERNS["assign"]) | text.rlike(PATTERNS["access"]) | text.rlike(PATTERNS["hex"])
