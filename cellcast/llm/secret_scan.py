@@ -9,8 +9,10 @@
 3. *Verdict.*  A value held by ``min_owners`` owners or more is a widely copied example
    (``copied``); otherwise, if it looks random, it is an owner-specific live credential
    (``live``).  The rest stays a base span only.  That is the query's verdict, as its SQL
-   has it.  ``verdicts`` and ``without_live`` judge every base value: one that is not
-   copied is live unless it holds a placeholder word or its characters say too little
+   has it.  ``verdicts`` and ``without_live`` judge every base value by owners and
+   repositories: it is copied if ``min_owners`` owners hold it in as many different texts
+   (copies of one text are one witness), or ``min_repos`` repositories with different
+   texts do.  One that is not copied is live unless it holds a placeholder word or its characters say too little
    (entropy times length below the bound of its kind).
 
 Defined results: null text counts as empty; a null owner or repository is a value of its
@@ -45,6 +47,7 @@ def looks_random(value):
     return ((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
             & (F.size(F.filter(chars, lambda c: c != "")) >= 8) & ~value.rlike(PLACEHOLDER))
 
+MIN_REPOS = 30         # repositories with different texts that make a value a copied example, whoever owns them
 #: Of verdicts(): least bits of a live value by kind (8 characters, 4 of them different; runs of a few characters have less), and placeholder words.
 BITS = {"assign": 16.0, "access": 24.0, "hex": 32.0}
 PLACEHOLDER_WORD = r"(?:^|[^A-Za-z])(?i:example|changeme|placeholder|dummy|sample|your|x{4,})(?:$|[^A-Za-z])"
@@ -111,6 +114,23 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
+def witnesses(found: DataFrame) -> DataFrame:
+    """hash, n_texts, n_own: different texts that hold a value, and owners with a text each of their own.
+
+    n_own is the least of three covers of the (owner, text) pairs: all owners, all texts, or
+    one owner and the texts that others hold too.  For three owners that is exact."""
+    one = found.select("owner", F.col("key.a").alias("a"), F.col("key.b").alias("b"),
+                       F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    pairs = one.groupBy("hash", "a", "b", "owner").agg(F.lit(1).alias("x"))
+    texts = pairs.groupBy("hash", "a", "b").agg(F.count("*").alias("held_by"), F.min("owner").alias("owner"))
+    shared = F.col("held_by") > 1
+    alone = texts.groupBy("hash", shared.alias("shared"), F.when(~shared, F.col("owner")).alias("owner")).agg(F.count("*").alias("n"))
+    by_text = alone.groupBy("hash").agg(F.sum("n").alias("n_texts"), F.max(F.when(~F.col("shared"), F.col("n"))).alias("most"))
+    owners = pairs.groupBy("hash", "owner").agg(F.lit(1).alias("x")).groupBy("hash").agg(F.count("*").alias("n_o"))
+    return by_text.join(owners, "hash").select("hash", "n_texts", F.least(
+        "n_o", "n_texts", F.col("n_texts") + 1 - F.coalesce("most", F.lit(0))).alias("n_own"))
+
+
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text",
          min_owners: int = 3) -> DataFrame:
     """One row per document: repo, owner, key (128 bits of the text), base, spans (base and verdict spans, sorted), n_live, n_copied."""
@@ -129,13 +149,15 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str
                       *[_count("added", k) for k in ("live", "copied")])
 
 
-def verdicts(docs: DataFrame, min_owners: int = 3) -> DataFrame:
-    """One row per base span of each document: repo, owner, key, kind, start, end (of the value), hash, n_owners, n_repos, verdict (copied, live or null)."""
+def verdicts(docs: DataFrame, min_owners: int = 3, min_repos: int = MIN_REPOS) -> DataFrame:
+    """One row per base span of each document: repo, owner, key, kind, start, end (of the value), hash, n_owners, n_repos, n_texts, n_own,
+    verdict (copied, live or null)."""
     found = store.save(extract(docs), "secrets")
     values = found.select("repo", "owner", "key", F.explode("spans").alias("s")).select(
         "repo", "owner", "key", "s.kind", F.col("s.vstart").alias("start"), "s.end", "s.hash", "s.held")
-    return values.join(ownership(found), "hash").withColumn("verdict", F.when(F.col("n_owners") >= min_owners, "copied").when(
-        F.col("held"), "live")).drop("held")
+    copied = (F.col("n_own") >= min_owners) | (F.least("n_repos", "n_texts") >= min_repos)
+    judged = store.save_small(ownership(found).join(witnesses(found), "hash"), "secrets-owners")
+    return values.join(judged, "hash").withColumn("verdict", F.when(copied, "copied").when(F.col("held"), "live")).drop("held")
 
 
 def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:

@@ -159,3 +159,16 @@ def test_stage_judges_every_base_value(spark):
     rows = [(i, t, f"s{i}") for i, t in enumerate(live)] + [(100 + i, t, f"s{i}") for i, t in enumerate(calm)]
     rows += [(200 + i, f"{i} passwd=widelyused{'w' * 3}", f"s{i}") for i in range(4)]
     assert kept_by_stage(spark, rows) == [*range(100, 100 + len(calm)), *range(200, 204)]
+
+
+def test_stage_counts_owners_and_texts(spark):
+    """A value in many texts of one source is an example; copies of one text under many sources are one witness."""
+    n = secret_scan.MIN_REPOS
+    rows = [(i, f"page {i} token = Zk39dkQpLm20xWv7aB", "hot") for i in range(n)]                              # example of one source
+    rows += [(1000 + i, "mine: token = Qw82kfLp30vBn5xT7c", f"s{i}") for i in range(5)]                        # one text, five sources
+    rows += [(2000 + i, t, s) for i, (t, s) in enumerate([("a token=Hj48fkWq92mZc6bR1d", s) for s in "abc"] + [(f"{k} token=Hj48fkWq92mZc6bR1d", "a") for k in "yz"])]
+    rows += [(3000 + i, f"{i} token = Lk29sjRt57gHb3wN8e", f"s{i}") for i in range(3)]                         # three owners, three texts
+    rows += [(4000 + i, "same token = Vb63nmXc18kPq4zS9f", f"s{i}") for i in range(n)]                         # copies of one text
+    assert kept_by_stage(spark, rows) == [*range(n), *range(3000, 3003)]
+    got = {r.repo: r for r in secret_scan.verdicts(docs(spark, rows)).collect()}
+    assert [(got[i].n_owners, got[i].n_repos, got[i].n_texts, got[i].n_own) for i in (0, 1000, 2000, 3000)] == [(1, n, n, 1), (5, 5, 1, 1), (3, 5, 3, 2), (3, 3, 3, 3)]
