@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("secret_scan", "token_histogram", "license_scan", "source_mix", "ngram_join", "warc_segments",
-           "decontaminate", "chat_parts", "cap_filters", "language_id", "byte_bpe", "lexical_search")
+           "decontaminate", "chat_parts", "cap_filters", "language_id", "byte_bpe", "lexical_search", "prefix_trie")
 
 
 def load() -> dict:

@@ -337,7 +337,7 @@ def test_queries_and_sql(spark):
     """Every query gives its columns; those with SQL equal DuckDB."""
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, (fn, sql) in registry.load().items():
         if sql:
