@@ -50,23 +50,26 @@ SPACE = "\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 SHORT = 64             # bytes of a piece whose pairs are contracted one at a time
-PART = 1_000_000       # pieces or ids that a task holds at once
-STORED = 600_000       # encoded pieces that a worker keeps
+PART = 500_000         # pieces or ids that a task holds at once
+BYTES = 300_000        # bytes of new pieces in a query
+STORED = 300_000       # encoded pieces that a worker keeps
 LONG = 1_000_000       # characters of a text that the JVM cuts into pieces
-BLOCK = 65_536         # ids that one ordered aggregation concatenates
+BLOCK = 4_096          # ids that one ordered aggregation concatenates
 
-# One contraction a step: the rows of a piece are numbered without gaps, neighbours are p and p + 1.
+# One contraction a step. Row p of a piece holds its token and the next one (-1 at the end), without gaps: the contracted
+# row goes, its left neighbour has a new next token and its right neighbour becomes the merged token.
 ONE_PAIR = """
-WITH RECURSIVE s(w, p, t, step) AS (
-  SELECT w, p, t, 0 FROM start
+WITH RECURSIVE s(w, p, t, nxt, step) AS (
+  SELECT w, p, t, nxt, 0 FROM start
   UNION ALL
-  SELECT s.w, CASE WHEN s.p > best.p THEN s.p - 1 ELSE s.p END, CASE WHEN s.p = best.p THEN best.id ELSE s.t END, s.step + 1
+  SELECT s.w, CASE WHEN s.p > best.p THEN s.p - 1 ELSE s.p END, CASE WHEN s.p = best.p + 1 THEN best.id ELSE s.t END,
+    CASE WHEN s.p = best.p - 1 THEN best.id ELSE s.nxt END, s.step + 1
   FROM s JOIN (
-    SELECT w, min(k) >> 32 AS id, min(k) & 4294967295 AS p FROM (
-      SELECT a.w, (m.id::BIGINT << 32) | a.p AS k FROM s a JOIN s b ON b.w = a.w AND b.p = a.p + 1 JOIN merges m ON m.l = a.t AND m.r = b.t)
+    SELECT w, CAST(min(k) >> 32 AS INTEGER) AS id, CAST(min(k) & 4294967295 AS INTEGER) AS p FROM (
+      SELECT s.w, (m.id::BIGINT << 32) | s.p AS k FROM s JOIN merges m ON m.l = s.t AND m.r = s.nxt)
     GROUP BY w) best USING (w)
-  WHERE s.p <> best.p + 1)
-SELECT w, t FROM (SELECT *, max(step) OVER (PARTITION BY w) AS final FROM s) WHERE step = final ORDER BY w, p
+  WHERE s.p <> best.p)
+SELECT w, t FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, p
 """
 
 # All places of a piece's minimum pair a step; rows are kept by place, t = -1 marks one that went into its left neighbour,
@@ -137,12 +140,15 @@ class Codec:
         self.number.update(zip(pieces, range(n, m), strict=True))
 
     def _contract(self, pieces: list[bytes], query: str) -> None:
-        """Encode different pieces, some million bytes a query."""
-        for part in _parts(pieces, len, PART):
+        """Encode different pieces, some ``BYTES`` a query."""
+        for part in _parts(pieces, len, BYTES):
             lens = np.array([len(b) for b in part], np.int64)
             place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+            token = self.single[np.frombuffer(b"".join(part), np.uint8)]
+            following = np.append(token[1:], -1)
+            following[np.cumsum(lens) - 1] = -1
             self.con.register("start", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lens), "p": place.astype(np.int32),
-                                                 "t": self.single[np.frombuffer(b"".join(part), np.uint8)]}))
+                                                 "t": token, "nxt": following.astype(np.int32)}))
             out = self.con.sql(query).to_arrow_table()
             self.con.unregister("start")
             self._add(part, out["t"].to_numpy(), np.bincount(out["w"].to_numpy(), minlength=len(part)))
