@@ -1,8 +1,9 @@
 """License scans by diagonal voting.
 
 Words of every whole text form rolling k-grams (k = 2, the shortest phrase has two words).
-Their hashes are joined with the template positions that hold the same k-gram (and the grams
-themselves are compared, so a hash collision cannot vote).  A hit votes for the diagonal
+Each word is hashed once, to 64 bits, and a k-gram's hash is rolled from those of its words.
+All hashes are joined with the template positions that hold the same k-gram; where a hash is one
+of the templates', the words go along and are compared, so a collision cannot vote.  A hit votes for the diagonal
 offset = place in the text - place in the template; votes are pre-aggregated as bit sets of
 template places per (text, template, diagonal).  Diagonals at most ``GAP`` apart are one
 occurrence, so a few inserted or missing words do not split it, and a span is verified by
@@ -18,6 +19,9 @@ results; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,7 @@ TEMPLATES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = 3                # diagonals apart at most within one occurrence
 COVER = 0.85           # share of a template's k-grams in a verified span
@@ -51,8 +56,37 @@ MOST_GRAMS = 100_000   # of all templates together, to be broadcast
 BITS = 62              # template places per bit set
 
 
-def words(text):
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+_BYTES = bytes(b if b > 127 or chr(b) in "0123456789" + LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 32 for b in range(256))
+ROLL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words(text: bytes) -> list[bytes]:
+    """Lower-case words of a text in UTF-8: all bytes above 127 belong to characters that are in words."""
+    return text.translate(_BYTES).split()
+
+
+def gram_hashes(w: list[bytes]) -> np.ndarray:
+    """The rolled 64-bit hash of each 2-gram."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    return (h[:-1] * ROLL + h[1:]).view(np.int64)
+
+
+def _rolled(wanted: np.ndarray):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grams", pa.list_(pa.int64())), ("said", pa.map_(pa.int32(), pa.string()))])
+
+    def run(batches):
+        for batch in batches:
+            grams, said = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                w = words(text.as_py())
+                g = gram_hashes(w)
+                hits = np.flatnonzero(np.isin(g, wanted)).tolist()
+                grams.append(g)
+                said.append([(i, f"{w[i].decode()} {w[i + 1].decode()}") for i in hits])
+            sizes = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([np.empty(0, np.int64), *grams]))),
+                                              pa.array(said, schema.field("said").type)], schema=schema)
+    return run
 
 
 def template_rows(base=BASE, templates=TEMPLATES) -> list[tuple[int, str, bool, int, int, str]]:
@@ -66,15 +100,13 @@ def template_rows(base=BASE, templates=TEMPLATES) -> list[tuple[int, str, bool,
 
 def votes(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """a, b (key of the text), template, label, is_base, grams, diagonal, part, bits, low, high: one row per voted diagonal and bit set."""
-    rows = template_rows(base, templates)
-    side = docs.sparkSession.createDataFrame(rows, "template int, label string, is_base boolean, grams int, place int, gram string")
-    side = side.withColumn("h", F.xxhash64("gram"))
+    rows = [(*r, int(gram_hashes(r[-1].encode().split())[0])) for r in template_rows(base, templates)]
+    side = docs.sparkSession.createDataFrame(rows, "template int, label string, is_base boolean, grams int, place int, gram string, h long")
     if len(rows) <= MOST_GRAMS:
         side = F.broadcast(side)
-    d = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(store.text_key(F.col("text")).alias("k"), words(F.col("text")).alias("w"))
-    grams = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("w"), i + 1)))
-    d = d.where(F.size("w") > 1).select("k.a", "k.b", F.posexplode(grams).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
-    hits = d.join(side, ["h", "gram"])
+    d = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(store.text_key(F.col("text")).alias("k"), "text").select("k.a", "k.b", "text")
+    d = d.mapInArrow(_rolled(np.unique(np.array([r[-1] for r in rows], np.int64))), "a long, b long, grams array<long>, said map<int,string>")
+    hits = d.select("a", "b", "said", F.posexplode("grams").alias("pos", "h")).join(side, "h").where(F.col("said")[F.col("pos")] == F.col("gram"))
     return hits.groupBy("a", "b", "template", "label", "is_base", "grams", (F.col("pos") - F.col("place")).alias("diagonal"),
                         F.floor(F.col("place") / BITS).alias("part")).agg(
         F.expr(f"bit_or(shiftleft(1L, place % {BITS}))").alias("bits"), F.min("place").alias("low"), F.max("place").alias("high"))
@@ -108,7 +140,7 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     seen = spans(voted).groupBy("a", "b").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     found = store.save(at.join(seen, ["a", "b"], "full"), "license-found")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", store.text_key(F.col("text")).alias("k"), F.size(words(F.col("text"))).cast("long").alias("n_words")).select("doc_id", "n_words", "k.a", "k.b")
+        "doc_id", store.text_key(F.col("text")).alias("k"), F.regexp_count("text", F.lit(ANY_CASE)).cast("long").alias("n_words")).select("doc_id", "n_words", "k.a", "k.b")
     out = d.join(found, ["a", "b"], "left").withColumn("base", F.coalesce("base", none)).withColumn("more", F.coalesce("more", none))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("cover", F.lit(0.0)))
     return out.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"),
