@@ -8,6 +8,10 @@ many tokens remain when each document is cut there, and every quantile.
 The sums are exact and distributed: lengths are dealt into ranges of ``RANGE``; each range is
 summed in its own window, and the ranges' totals (longest text / RANGE rows) give the offsets.
 
+The tokenizer library's expressions recurse over white space, so runs of ``RUN`` or more white-space characters
+are cut out where the pattern splits anyway: all but a run's last character are one piece (all of it at the text's
+end), which is contracted by the recursive query of ``byte_bpe``.
+
 Defined results: null text has length 0; repeated rows count each; control strings of the
 vocabulary are ordinary text; an empty table gives an empty histogram; other columns are
 ignored.
@@ -17,12 +21,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellcast.llm import store
+from cellcast.llm import byte_bpe, store
 
 QUERY = "op2_token_histogram"
 ORACLE_SQL = None     # SQL has no tokenizer; tested against per-document counts
@@ -31,6 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANGE = 1024
+RUN = 1_000            # white-space characters in a row that are not given to the library
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,11 +48,32 @@ def encoding(path: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _long_run():
+    return re.compile(f"[{byte_bpe.SPACE}]{{{RUN},}}")
+
+
+def cut(text: str) -> Iterator[tuple[bool, str]]:
+    """(whether it is one long piece of white space, part) of a text, in order; the parts are encoded apart from each other."""
+    at = 0
+    for m in _long_run().finditer(text):
+        end = m.end() - (m.end() < len(text))      # the last character may belong to the next piece
+        yield False, text[at:m.start()]
+        yield True, text[m.start():end]
+        at = end
+    yield False, text[at:]
+
+
+def count(path: str, text: str) -> int:
+    """Tokens of a whole text."""
+    enc = encoding(path)
+    return sum(len(byte_bpe.codec(path).encode(pa.array([part]))[0]) if run else len(enc.encode_ordinary(part)) for run, part in cut(text))
+
+
 def _counter(path: str):
     def run(batches):
-        enc = encoding(path)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+            n = [count(path, t) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.record_batch([pa.array(n, pa.int64())], names=["n_tokens"])
     return run
 
