@@ -6,8 +6,9 @@ bound.  Directions are all combinations of one random codeword per block of coor
 partial sums that cannot reach the bound, without looking at all directions.
 
 ``plan_code`` picks bound, number of directions and number of independent codes from the
-number of vectors: a filter holds about ``bucket`` unrelated vectors, a pair at the threshold
-shares some ``mean`` filters, and codes are added until no simulated pair shares none.  Vectors join on filters, in bounded blocks, and every pair is verified
+number of vectors, for each vector length its own: a filter holds about ``bucket`` unrelated
+vectors, a pair at the threshold shares some ``mean`` filters, and codes are added until no
+simulated pair shares none, however many that takes.  Vectors join on filters, in bounded blocks, and every pair is verified
 in double precision.  The verified links give connected components; inside a component all
 pairs are verified again, in blocks, each pair once, which gives the exact link counts.
 Equal vectors are one class from the start and are not expanded into pairs.
@@ -79,7 +80,7 @@ def plan_code(n: int, dim: int, threshold: float, bucket: int = 256, mean: float
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     y = threshold * x + rest * z if dim > 1 else x.copy()
     limit, codes = min(bound / math.sqrt(dim), HIGHEST), 0
-    while len(x) and codes < 256:
+    while len(x):
         a, b = (_decode_one(v, codes, blocks, words, limit) for v in (x, y))
         missed = np.array([not np.isin(i, j).any() for i, j in zip(a, b, strict=True)])
         x, y = x[missed], y[missed]
@@ -157,7 +158,7 @@ def _reader(kind: str):
     return run
 
 
-def _filters(kind: str, plan: Plan):
+def _filters(kind: str, plans: dict[int, Plan]):
     schema = pa.schema([("cid", pa.int64()), ("filters", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -166,7 +167,7 @@ def _filters(kind: str, plan: Plan):
             lists: list = [None] * batch.num_rows
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                found = list_decode(_units(raw.take(pa.array(rows)).to_pylist(), kind), plan)
+                found = list_decode(_units(raw.take(pa.array(rows)).to_pylist(), kind), plans[dim])
                 for r, ids in zip(rows.tolist(), found, strict=True):
                     lists[r] = ids * 4096 + dim % 4096
             yield pa.record_batch([batch.column("cid"), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
@@ -231,10 +232,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     first = F.min(F.struct(F.col("vec_id").isNull().alias("void"), "vec_id"))
     classes = signed.where("dim > 0").groupBy("k1", "k2", "dim").agg(first.alias("first"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes = store.save(classes.withColumn("cid", F.monotonically_increasing_id()), "caps-classes")
-    usual = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    plan = plan_code(classes.count(), usual.dim if usual else 1, threshold)
+    # a length of one class has no partner to look for
+    plans = {r.dim: plan_code(r.n, r.dim, threshold) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).where("n > 1").collect()}
+    paired = classes.where(F.col("dim").isin(list(plans)))
 
-    met = store.save(classes.select("cid", "dim", "raw").mapInArrow(_filters(kind, plan), "cid long, filters array<long>").select(
+    met = store.save(paired.select("cid", "dim", "raw").mapInArrow(_filters(kind, plans), "cid long, filters array<long>").select(
         "cid", F.explode("filters").alias("filter")), "caps-filters")
     full = met.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
     held = graph.cells(met.join(full, "filter"), "filter", "cid", "m", BLOCK).drop("filter")
