@@ -12,6 +12,9 @@ index of the items.
 The index is sent to the executors, so its size is checked: items are read one by one and
 packed into indexes of at most ``INDEX_CHARS`` characters; further items make further passes.
 
+A match is a whole item: a document that holds only part of one (cut, or a passage of a long item)
+differs by more than the budget and is no match.
+
 Defined results: null texts and items have no match; an item too short for the lemma gets a
 smaller budget, one shorter than q is no evidence and matches nothing; repeated rows and
 repeated items each give their own rows; an empty table gives an empty result; other columns
@@ -20,6 +23,7 @@ are ignored (``remove`` passes them through).
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -103,11 +107,28 @@ def index(items: list[tuple[int, str]], edits: float) -> dict:
             "offset": offset[order].astype(np.int32), "bits": bits}
 
 
+HITS = 1_000_000       # pairs of equal q-grams that a text's window holds, but for one text place and the overlap
+
+
+def _windows(n: np.ndarray, at: np.ndarray, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """(a, c, until): windows of text places a..c with about ``HITS`` pairs before character ``until``, where the next
+    window begins, and those of the following ``overlap`` characters."""
+    total = np.cumsum(n)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, side="right")))
+        until = int(at[b]) if b < len(at) else int(at[-1]) + 1
+        yield a, int(np.searchsorted(at, until + overlap, side="right")), until
+        a = b
+
+
 def _bands(ix: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(item number, first diagonal, last diagonal, shared q-grams) of the bands that meet the lemma's bound.
 
-    The bound is first put to all pairs of equal q-grams in a band, then to the item's
-    distinct q-grams among them, which is what the lemma counts.
+    The bound is put to the item's distinct q-grams that have an equal one in the band, which
+    is what the lemma counts.  The text is read in windows that overlap by the longest band; a
+    band is counted in the window that holds its first text place, so memory is bounded and the
+    work follows the number of pairs of equal q-grams.
     """
     g = qgrams(x)
     at = np.flatnonzero(ix["bits"][slot(g)]) if len(g) else np.empty(0, np.int64)
@@ -117,24 +138,35 @@ def _bands(ix: dict, x: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     real = ix["keys"][np.minimum(k, len(ix["keys"]) - 1)] == g[at]
     at, k = at[real], k[real]
     n = ix["first"][k + 1] - ix["first"][k]
-    if not n.sum():
-        return
+    begin = 0
+    for a, c, until in _windows(n, at, ix["longest"] + 2 * int(ix["width"].max())):
+        yield from _window_bands(ix, at[a:c], k[a:c], n[a:c], begin, until)
+        begin = until
+
+
+def _window_bands(ix: dict, at: np.ndarray, k: np.ndarray, n: np.ndarray, begin: int, until: int) -> Iterator[tuple[int, int, int, int]]:
+    """The bands among some text places whose first place is one of begin..until-1."""
     place = np.repeat(ix["first"][k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     item = ix["owner"][place].astype(np.int64)
-    offset = ix["offset"][place]
+    offset = ix["offset"][place].astype(np.int64)
     band = (np.repeat(at, n) - offset + ix["longest"]) // ix["width"][item]
-    own = (item << 40) | band
-    key = np.concatenate((own, own - (band > 0)))
-    key.sort()
-    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    count = np.diff(edges)
-    keys = key[edges[:-1]]
-    for kk in keys[count >= ix["least"][keys >> 40]].tolist():
+    item, offset, band = np.tile(item, 2), np.tile(offset, 2), np.concatenate((band, band - 1))
+    first = np.maximum(band * ix["width"][item] - ix["longest"], 0)
+    own = (band >= 0) & (first >= begin) & (first < until)
+    key, offset = (item[own] << 40) | band[own], offset[own]
+    order = np.lexsort((offset, key))
+    key, offset = key[order], offset[order]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+    fresh = new.copy()
+    fresh[1:] |= offset[1:] != offset[:-1]
+    edges = np.flatnonzero(new)
+    shared = np.add.reduceat(fresh, edges, dtype=np.int64) if len(edges) else np.empty(0, np.int64)
+    keys = key[edges]
+    held = shared >= ix["least"][keys >> 40]
+    for kk, s in zip(keys[held].tolist(), shared[held].tolist(), strict=True):
         i, b = kk >> 40, kk & ((1 << 40) - 1)
-        shared = len(np.unique(offset[(own == kk) | (own == kk + 1)]))
-        if shared >= ix["least"][i]:
-            w = int(ix["width"][i])
-            yield i, b * w - ix["longest"], (b + 2) * w - 1 - ix["longest"], shared
+        w = int(ix["width"][i])
+        yield i, b * w - ix["longest"], (b + 2) * w - 1 - ix["longest"], s
 
 
 FAR = 1 << 40          # more than any number of edits, in the packed table
@@ -217,14 +249,22 @@ def _settle(ix: dict, wait: list, out: list) -> None:
             if edits <= ix["items"][i][2] and end > start:
                 regions.setdefault((r, i), []).append((edits, start, end, shared, places))
     for (r, i), rows in sorted(regions.items()):
-        kept: list = []
-        for row in sorted(rows, key=lambda t: t[:3]):
-            if all(min(row[2], o[2]) - max(row[1], o[1]) <= (row[2] - row[1]) / 2 for o in kept):
-                kept.append(row)
-        for edits, start, end, shared, places in sorted(kept, key=lambda t: t[1]):
+        for edits, start, end, shared, places in _apart(rows):
             out[r].append((ix["items"][i][0], int(places[start]), int(places[end - 1]) + 1, edits, shared))
 
 
+def _apart(rows: list) -> list:
+    """Of regions (edits, start, end, ...) that overlap by more than half of the worse one, the better; by start."""
+    kept: list = []        # by start
+    most = max(row[2] - row[1] for row in rows)
+    for row in sorted(rows, key=lambda t: t[:3]):
+        _, start, end = row[:3]
+        near = kept[bisect.bisect_left(kept, start - most, key=lambda o: o[1]):bisect.bisect_right(kept, end, key=lambda o: o[1])]
+        if all(min(end, o[2]) - max(start, o[1]) <= (end - start) / 2 for o in near):
+            bisect.insort(kept, row, key=lambda o: o[1])
+    return kept
+
+
 def _indexes(benchmark: DataFrame, edits: float, most: int) -> Iterator[dict]:
     """Indexes of at most ``most`` characters each (one item may be larger), read row by row."""
     held, size = [], 0

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellcast.llm import byte_bpe, lexical_search, prefix_trie, store
+from cellcast.llm import byte_bpe, cap_filters, decontaminate, lexical_search, prefix_trie, store, token_histogram
 
 tiktoken = pytest.importorskip("tiktoken")
 # Fixed value: the public vocabulary's pattern as its library writes it.
@@ -192,3 +193,75 @@ def test_turns_are_numbered_across_ranges(spark):
     key = {hashlib.sha256(f"1:rt{i}".encode()).hexdigest()[:32]: i for i in range(3)}
     one = {x.place: key[x.key] for x in got if x.c == 1}
     assert sorted(one) == list(range(1, 3001)) and all(one[p] == (p - 1) % 3 for p in one) and all(x.place == 1 for x in got if x.c > 1)
+
+
+def test_token_counts_of_long_white_space(spark, library):
+    """The library's expressions fail on these; the pieces are known."""
+    n = 10 ** 6
+    one = {c: library.encode_ordinary(c)[0] for c in ("\t", "\n")}
+    texts = {" " * n + "a": n, " " * n: n, "a" + " " * n + "\t" * 5 + "b": None, "\t" * n + "a": n + 1, "x" * n: len(library.encode_ordinary("x" * n)),
+             "7" * n: len(library.encode_ordinary("7" * n)), "a" + "\n" * (n + 1) + " b": None}
+    for t, want in texts.items():
+        got = token_histogram.count(token_histogram.VOCABULARY, t)
+        assert got == want if want else got > n / 2
+    r = random.Random(2)
+    for _ in range(300):     # every cut, against the library on runs it takes
+        t = "".join(r.choice(["a", "b c", " " * r.randint(1, 40), "\t\t", "\n" * 30, "'s", "1", " \n \t" * 8]) for _ in range(r.randint(1, 12)))
+        parts = []
+        for m in re.split(r"(\s{20,})", t):
+            parts.append(m)
+        old, token_histogram.RUN = token_histogram.RUN, 20
+        token_histogram._long_run.cache_clear()
+        try:
+            assert token_histogram.count(token_histogram.VOCABULARY, t) == len(library.encode_ordinary(t)), repr(t)
+            assert "".join(p for _, p in token_histogram.cut(t)) == t
+        finally:
+            token_histogram.RUN = old
+            token_histogram._long_run.cache_clear()
+    assert one and [x.n_tokens for x in token_histogram.lengths(documents(spark, [(0, " " * n + "a")])).collect()] == [n]
+
+
+def test_caps_of_mixed_lengths(spark):
+    """Most vectors of one length, the links among those of another."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((3000, 64)).tolist())]
+    for i, x in enumerate(rng.standard_normal((200, 256))):
+        for k in range(3):
+            rows.append((10_000 + 3 * i + k, (x + rng.standard_normal(256) * 0.3).tolist()))
+    got = {r.vec_id: r.n_links for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.array([v for i, v in rows if i >= 10_000])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 1000 and [got[10_000 + i] for i in range(600)] == want.tolist()
+
+
+def test_repetitive_texts_against_plain_bands():
+    """A periodic item in a periodic text: the same bands as by plain counting, and time linear in the text."""
+    unit = "abcd efgh"
+    items = [(1, (unit * 30)[:270]), (2, "some other words that are not periodic at all in here")]
+    ix = decontaminate._finished(decontaminate.index(items, 0.1))
+    text = "intro words " + unit * 60 + " and some other words that are not periodic at all in here " + unit * 30
+    x = decontaminate.normal(text)[0]
+    old = decontaminate.HITS
+    try:
+        seen = []
+        for decontaminate.HITS in (10 ** 6, 500, 1):
+            seen.append(sorted(decontaminate._bands(ix, x)))
+    finally:
+        decontaminate.HITS = old
+    plain, g = [], decontaminate.qgrams(x).tolist()
+    for i, (_, p, k) in enumerate(ix["items"]):
+        w, least, q = 2 * k + 1, int(ix["least"][i]), decontaminate.qgrams(p).tolist()
+        found = defaultdict(set)
+        for a, y in enumerate(g):
+            for o, z in enumerate(q):
+                if y == z:
+                    band = (a - o + ix["longest"]) // w
+                    found[band].add(o)
+                    found[band - 1].add(o)
+        plain += [(i, b * w - ix["longest"], (b + 2) * w - 1 - ix["longest"], len(s)) for b, s in found.items() if b >= 0 and len(s) >= least]
+    assert seen[0] == seen[1] == seen[2] == sorted(plain)
+    start = time.time()
+    found = decontaminate.matches(ix, [unit * 111_112])[0]
+    took = time.time() - start
+    assert len(found) > 3000 and took < 30, took      # a megabyte; the scan by bands took hours
