@@ -153,15 +153,21 @@ def _window_bands(ix: dict, at: np.ndarray, k: np.ndarray, n: np.ndarray, begin:
     item, offset, band = np.tile(item, 2), np.tile(offset, 2), np.concatenate((band, band - 1))
     first = np.maximum(band * ix["width"][item] - ix["longest"], 0)
     own = (band >= 0) & (first >= begin) & (first < until)
-    key, offset = (item[own] << 40) | band[own], offset[own]
-    order = np.lexsort((offset, key))
-    key, offset = key[order], offset[order]
-    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-    fresh = new.copy()
-    fresh[1:] |= offset[1:] != offset[:-1]
-    edges = np.flatnonzero(new)
-    shared = np.add.reduceat(fresh, edges, dtype=np.int64) if len(edges) else np.empty(0, np.int64)
-    keys = key[edges]
+    item, band, offset = item[own], band[own], offset[own]
+    if not len(item):
+        return
+    low, wide, far = int(band.min()), int(np.ptp(band)) + 1, ix["longest"]
+    if len(ix["items"]) * wide * far < 1 << 62:
+        key = item * wide + (band - low)                   # one number a band, so that numbers can be sorted
+        names = None
+    else:
+        names, key = np.unique((item << 40) | band, return_inverse=True)
+    hit = key * far + offset
+    hit.sort()
+    hit = hit[np.concatenate(([True], hit[1:] != hit[:-1]))] // far
+    edges = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1], [True])))
+    shared, keys = np.diff(edges), hit[edges[:-1]]
+    keys = (keys // wide << 40) | (keys % wide + low) if names is None else names[keys]
     held = shared >= ix["least"][keys >> 40]
     for kk, s in zip(keys[held].tolist(), shared[held].tolist(), strict=True):
         i, b = kk >> 40, kk & ((1 << 40) - 1)
