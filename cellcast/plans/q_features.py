@@ -13,7 +13,7 @@ from cellcast.plans.common import roles
 from cellcast.plans.q_calibration import LOOKUP_CTES
 from cellcast.plans.q_lookups import NEIGHBOR_SQL
 from cellcast.plans.registry import query
-from cellcast.plans.sqlparts import clip_sql, geohash_xy_ctes, rounded, with_roles
+from cellcast.plans.sqlparts import clip_sql, geohash_xy_ctes, rounded, rounded_but, with_roles
 
 TWO_PI = f"(2 * pi())"
 
@@ -155,8 +155,6 @@ def base_prediction(spark, sf_dir):
 
 
 # ---- neighbour feature table (34 columns) -------------------------------------------------------
-NB_DOUBLES = [c for c in FT.NEIGHBOR_FEATURES if c not in ("hour", "minute", "day", "NumberofLanes")] + ["demand"]
-
 
 def _nb_sql():
     lw_all = """lwa AS (SELECT geohash, t, demand AS v FROM (
@@ -209,7 +207,7 @@ SELECT "Index", lat, lon, hour, minute, day, sin({TWO_PI} * t / 1440.0) AS time_
     return with_roles(*nbc) + body
 
 
-@query("feature_table_neighbor", sql=rounded(_nb_sql(), NB_DOUBLES))
+@query("feature_table_neighbor", sql=rounded_but(_nb_sql(), ("Index", "hour", "minute", "day", "NumberofLanes")))
 def feature_table_neighbor(spark, sf_dir):
     r = roles(spark, sf_dir)
     return FT.neighbor_features(r.ref.unionByName(r.cal), r.tgt)

@@ -37,6 +37,12 @@ def rounded(sql: str, doubles: list[str] | tuple[str, ...]) -> str:
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
 
 
+def rounded_but(sql: str, others: tuple[str, ...]) -> str:
+    """Wrap a query so all columns but the listed ones are rounded like the Spark side."""
+    names = ", ".join(f'"{c}"' for c in others)
+    return f"SELECT {names}, {r6(f'COLUMNS(* EXCLUDE ({names}))')} FROM (\n{sql}\n) AS _q"
+
+
 def clip_sql(expr: str, lo: float | None = None, hi: float | None = None) -> str:
     """NULL-preserving clip (DuckDB's least/greatest skip NULL arguments)."""
     out = f"({expr})"
