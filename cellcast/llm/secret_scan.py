@@ -6,14 +6,11 @@
 2. *Frequency.*  The SHA-256 of every candidate value (never the value) is counted by
    distinct owner and by distinct (owner, repository).  Each step pre-aggregates on the
    full key, so a value that a third of all documents hold is no hot task.
-3. *Verdict.*  A value held by ``min_owners`` owners or more is a widely copied example
-   (``copied``); otherwise, if it looks random, it is an owner-specific live credential
-   (``live``).  The rest stays a base span only.  That is the query's verdict, as its SQL
-   has it.  ``verdicts`` and ``without_live`` judge every base value by owners and
-   repositories: it is copied if ``min_owners`` owners hold it in as many different texts
-   (copies of one text are one witness), or ``min_repos`` repositories with different
-   texts do.  One that is not copied is live unless it holds a placeholder word or its characters say too little
-   (entropy times length below the bound of its kind).
+3. *Verdict.*  A value is a widely copied example (``copied``) if ``min_owners`` owners hold it in
+   as many different texts (copies of one text are one witness), or ``min_repos``
+   repositories with different texts do.  One that is not copied is an owner-specific live
+   credential (``live``) unless it holds a placeholder word or its characters say too little
+   (entropy times length below the bound of its kind).  The rest stays a base span only.
 
 Defined results: null text counts as empty; a null owner or repository is a value of its
 own; repeated rows each get their own row; an empty table gives an empty result; columns
@@ -37,19 +34,11 @@ PATTERNS = {
     "hex": r"[0-9a-f]{32,}",
 }
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,vstart:int,hash:string,random:boolean,held:boolean>>"
-PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|xxxx|your"
-
-
-def looks_random(value):
-    """16+ characters, letters and digits, 8+ different characters, no placeholder word."""
-    chars = F.array_distinct(F.split(value, ""))
-    return ((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-            & (F.size(F.filter(chars, lambda c: c != "")) >= 8) & ~value.rlike(PLACEHOLDER))
-
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int,vstart:int,hash:string,held:boolean>>"
 MIN_REPOS = 30         # repositories with different texts that make a value a copied example, whoever owns them
-#: Of verdicts(): least bits of a live value by kind (8 characters, 4 of them different; runs of a few characters have less), and placeholder words.
+# Least bits of a live value by kind (8 characters, 4 of them different; runs of a few characters have less), and placeholder words.
 BITS = {"assign": 16.0, "access": 24.0, "hex": 32.0}
+EVEN = 1e-6            # sums of logarithms that differ by less are equal
 PLACEHOLDER_WORD = r"(?:^|[^A-Za-z])(?i:example|changeme|placeholder|dummy|sample|your|x{4,})(?:$|[^A-Za-z])"
 
 
@@ -75,8 +64,7 @@ def _spans(text, kind: str, matches, values):
         end = start + F.length(x["hit"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
                         (end - F.length(x["val"])).alias("vstart"), F.sha2(x["val"], 256).alias("hash"),
-                        looks_random(x["val"]).alias("random"),
-                        ((bits(x["val"]) >= BITS[kind]) & ~x["val"].rlike(PLACEHOLDER_WORD)).alias("held"))
+                        ((bits(x["val"]) >= BITS[kind] - EVEN) & ~x["val"].rlike(PLACEHOLDER_WORD)).alias("held"))
         keep = F.length(x["val"]) >= LEAST[kind]
         return F.struct(end.alias("pos"),
                         F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
@@ -131,22 +119,32 @@ def witnesses(found: DataFrame) -> DataFrame:
         "n_o", "n_texts", F.col("n_texts") + 1 - F.coalesce("most", F.lit(0))).alias("n_own"))
 
 
+def judged(found: DataFrame, min_owners: int = 3, min_repos: int = MIN_REPOS) -> DataFrame:
+    """hash, n_owners, n_repos, n_texts, n_own, copied."""
+    copied = (F.col("n_own") >= min_owners) | (F.least("n_repos", "n_texts") >= min_repos)
+    return store.save_small(ownership(found).join(witnesses(found), "hash").withColumn("copied", copied), "secrets-owners")
+
+
+def verdict():
+    return F.when(F.col("copied"), "copied").when(F.col("held"), "live")
+
+
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text",
-         min_owners: int = 3) -> DataFrame:
-    """One row per document: repo, owner, key (128 bits of the text), base, spans (base and verdict spans, sorted), n_live, n_copied."""
+         min_owners: int = 3, min_repos: int = MIN_REPOS) -> DataFrame:
+    """One row per document: repo, owner, key (128 bits of the text), base, spans (base and verdict spans, sorted), n_live, n_copied,
+    n_owners, n_repos (of each base span's value, in order)."""
     found = store.save(extract(docs, repo, owner, text).withColumn("rid", F.monotonically_increasing_id()), "secrets")
-    values = found.select("rid", F.explode("spans").alias("s")).select(
-        "rid", "s.vstart", "s.end", "s.hash", "s.random")
-    judged = values.join(ownership(found), "hash").withColumn(
-        "kind", F.when(F.col("n_owners") >= min_owners, "copied").when(F.col("random"), "live"))
-    added = judged.where(F.col("kind").isNotNull()).groupBy("rid").agg(F.collect_set(F.struct(
-        F.col("vstart").alias("start"), F.when(F.col("kind") == "live", 3).otherwise(4).alias("rank"),
-        "kind", "end", "vstart", "hash", "random", F.col("random").alias("held"))).cast(SPAN).alias("added"))
-    empty = F.array().cast(SPAN)
-    out = found.join(added, "rid", "left").withColumn("added", F.coalesce("added", empty))
+    values = found.select("rid", F.explode("spans").alias("s")).select("rid", "s.start", "s.rank", "s.vstart", "s.end", "s.hash", "s.held")
+    kind = verdict()
+    added = F.struct(F.col("vstart").alias("start"), F.when(kind == "live", 3).otherwise(4).alias("rank"), kind.alias("kind"), "end", "vstart", "hash", "held")
+    counts = F.array_sort(F.collect_list(F.struct("start", "rank", "n_owners", "n_repos")))
+    per = values.join(judged(found, min_owners, min_repos), "hash").groupBy("rid").agg(
+        F.collect_set(F.when(kind.isNotNull(), added)).cast(SPAN).alias("added"), counts.alias("counts"))
+    out = found.join(per, "rid", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN)))
     return out.select("repo", "owner", "key", F.col("spans").alias("base"),
                       F.array_sort(F.concat("spans", "added")).alias("spans"),
-                      *[_count("added", k) for k in ("live", "copied")])
+                      *[_count("added", k) for k in ("live", "copied")],
+                      *[F.coalesce(F.col(f"counts.{n}"), F.array().cast("array<long>")).alias(n) for n in ("n_owners", "n_repos")])
 
 
 def verdicts(docs: DataFrame, min_owners: int = 3, min_repos: int = MIN_REPOS) -> DataFrame:
@@ -155,9 +153,7 @@ def verdicts(docs: DataFrame, min_owners: int = 3, min_repos: int = MIN_REPOS) -
     found = store.save(extract(docs), "secrets")
     values = found.select("repo", "owner", "key", F.explode("spans").alias("s")).select(
         "repo", "owner", "key", "s.kind", F.col("s.vstart").alias("start"), "s.end", "s.hash", "s.held")
-    copied = (F.col("n_own") >= min_owners) | (F.least("n_repos", "n_texts") >= min_repos)
-    judged = store.save_small(ownership(found).join(witnesses(found), "hash"), "secrets-owners")
-    return values.join(judged, "hash").withColumn("verdict", F.when(copied, "copied").when(F.col("held"), "live")).drop("held")
+    return values.join(judged(found, min_owners, min_repos), "hash").withColumn("verdict", verdict()).drop("held", "copied")
 
 
 def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:
@@ -176,7 +172,8 @@ def without_live(docs: DataFrame, min_owners: int = 3) -> DataFrame:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(store.table(spark, sf_dir, "documents"))
     return out.select(F.col("repo").alias("doc_id"), *[_count("base", k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-                      _joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
+                      _joined(F.col("spans")).alias("spans"), "n_live", "n_copied",
+                      *[F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in ("n_owners", "n_repos")])
 
 
 _ASSIGN = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
@@ -199,12 +196,21 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 base AS ({_sql_kind('assign', _ASSIGN, 2)} UNION ALL {_sql_kind('access', PATTERNS['access'], 0)}
   UNION ALL {_sql_kind('hex', PATTERNS['hex'], 0)}),
-freq AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM base GROUP BY val),
-judged AS (SELECT DISTINCT rid, s + n - length(b.val) AS s, s + n AS e, CASE WHEN owners >= 3 THEN 'copied'
-    WHEN length(b.val) >= 16 AND regexp_matches(b.val, '[0-9]') AND regexp_matches(b.val, '[A-Za-z]')
-      AND len(list_distinct(string_split(b.val, ''))) >= 8
-      AND NOT regexp_matches(b.val, '(?i)example|changeme|placeholder|dummy|sample|xxxx|your') THEN 'live' END AS kind
-  FROM base b JOIN freq f ON b.val = f.val),
+pairs AS (SELECT DISTINCT val, coalesce(d.source, chr(0)) AS owner, text FROM base JOIN d USING (rid)),
+repos AS (SELECT val, count(*) AS n_repos FROM (SELECT DISTINCT val, source, doc_id FROM base) GROUP BY val),
+texts AS (SELECT val, text, count(*) AS held_by, min(owner) AS owner FROM pairs GROUP BY val, text),
+most AS (SELECT val, max(n) AS most FROM (SELECT val, owner, count(*) AS n FROM texts WHERE held_by = 1 GROUP BY val, owner) GROUP BY val),
+freq AS (SELECT val, n_owners, n_texts, n_repos, least(n_owners, n_texts, n_texts + 1 - coalesce(most, 0)) AS n_own
+  FROM (SELECT val, count(DISTINCT owner) AS n_owners FROM pairs GROUP BY val) JOIN (SELECT val, count(*) AS n_texts FROM texts GROUP BY val) USING (val)
+  JOIN repos USING (val) LEFT JOIN most USING (val)),
+held AS (SELECT val, rank, list_sum(list_transform(list_distinct(string_split(val, '')), lambda c:
+    (length(val) - length(replace(val, c, ''))) * log2(length(val) / (length(val) - length(replace(val, c, ''))))))
+    >= (CASE rank WHEN 0 THEN 16 WHEN 1 THEN 24 ELSE 32 END) - 1e-6
+    AND NOT regexp_matches(val, '{PLACEHOLDER_WORD}') AS held FROM (SELECT DISTINCT val, rank FROM base)),
+judged AS (SELECT DISTINCT rid, s + n - length(b.val) AS s, s + n AS e, CASE WHEN n_own >= 3 OR least(n_repos, n_texts) >= {MIN_REPOS} THEN 'copied'
+    WHEN held THEN 'live' END AS kind FROM base b JOIN freq f ON b.val = f.val JOIN held h ON h.val = b.val AND h.rank = b.rank),
+owned AS (SELECT rid, string_agg(CAST(n_owners AS VARCHAR), ',' ORDER BY s, rank) AS n_owners, string_agg(CAST(n_repos AS VARCHAR), ',' ORDER BY s, rank) AS n_repos
+  FROM base JOIN freq USING (val) GROUP BY rid),
 allspans AS (SELECT rid, s, s + n AS e, rank, kind, true AS is_base FROM base UNION ALL
   SELECT rid, s, e, CASE kind WHEN 'live' THEN 3 ELSE 4 END, kind, false FROM judged WHERE kind IS NOT NULL),
 per AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
@@ -212,6 +218,7 @@ per AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILT
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (is_base) AS b,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS a FROM allspans GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
-FROM d LEFT JOIN per ON d.rid = per.rid
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(n_owners, '') AS n_owners, coalesce(n_repos, '') AS n_repos
+FROM d LEFT JOIN per ON d.rid = per.rid LEFT JOIN owned ON d.rid = owned.rid
 """

@@ -35,7 +35,7 @@ def test_secrets(spark):
              "a" * 40 + " " + "0123456789abcdef" * 5, "secret:==abcdefghij" * 40, "x" * 200_000 + " passwd=hunter2hunter2",
              "😀" * 50 + hot]
     rows = [(i, t, None if i % 5 == 0 else f"s{i}") for i, t in enumerate(texts)] + [(8, texts[8], "s8")]
-    rows += [(100 + i, hot, f"s{i % 4}") for i in range(40)] + [(None, texts[2], None)]
+    rows += [(100 + i, f"{hot} {i}", f"s{i % 4}") for i in range(40)] + [(None, texts[2], None)]
     got = secret_scan.scan(docs(spark, rows)).collect()
     assert len(got) == len(rows)
     text_of = {r[0]: r[1] or "" for r in rows}
@@ -43,7 +43,8 @@ def test_secrets(spark):
         want = base_spans(text_of[r.repo])
         assert [(s.start, s.rank, s.kind, s.end) for s in r.base] == want
         assert set(r.base) <= set(r.spans)
-        assert (r.n_copied if r.repo and r.repo >= 100 else 1) == 1      # the hot value is held by four owners
+        assert (r.n_copied if r.repo and r.repo >= 100 else 1) == 1      # the hot value is held by four owners in different texts
+        assert len(r.n_owners) == len(r.n_repos) == len(r.base) and (r.repo is None or r.repo < 100 or (r.n_owners, r.n_repos) == ([5], [41]))
     assert next(r for r in got if r.repo == 2).n_live == 2
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
