@@ -80,3 +80,20 @@ def interpolate(b: DataFrame, edge: str = "null", name: str = "interp") -> DataF
              .when(tp.isNotNull(), F.col("v_prev"))
              .when(tn.isNotNull(), only_next))
     return b.withColumn(name, value)
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, by: str = "geohash", at: str = "t", low: str = "low", high: str = "high",
+                  width: int = 60) -> DataFrame:
+    """Every row of ``points`` with every interval of its group that holds its time: low <= at <= high.
+
+    Time is cut into bins of ``width``; an interval goes to the bins it touches and a point to its own, so the
+    join is on equal (group, bin) and a pair meets in one bin only.  An interval is repeated at most
+    (its length / width + 2) times, and a large group is spread over its bins.  Empty intervals, and
+    null groups, times or bounds, match nothing.
+    """
+    def bin_of(c):
+        return F.floor(F.col(c) / F.lit(width))
+    spread = intervals.where(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    placed = points.withColumn("_bin", bin_of(at))
+    met = placed.join(spread, [by, "_bin"]).where((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high)))
+    return met.drop("_bin")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellcast.functions.timekeys import MINUTES_PER_DAY
 from cellcast.operators import asof
 from cellcast.operators.cascade import compare_cascades, interp_cascade, memorize_cascades
 from cellcast.operators.evaluate import rmse_by_level
@@ -51,6 +52,20 @@ def range_join_counts(spark, sf_dir):
                     F.coalesce("n_next", F.lit(0)).cast("long").alias("n_next"))
 
 
+@query("range_join_rows", sql=rounded(with_roles(SER, KEYS) + """
+SELECT k.geohash, k.t, CASE WHEN s.t <= k.t THEN 'prev' ELSE 'next' END AS side, s.t AS t_ref, s.v AS v
+FROM k JOIN ser s ON s.geohash = k.geohash AND (s.t <= k.t OR s.t > k.t)""", ["v"]))
+def range_join_rows(spark, sf_dir):
+    """The reference slots at or before, and after, each target key, as rows."""
+    r = roles(spark, sf_dir)
+    series = asof.series(r.ref).select(CELL, F.col("t").alias("t_ref"), "v")
+    keys = r.tgt.select(CELL, "t").distinct()
+    sides = F.explode(F.array(F.struct(F.lit("prev").alias("side"), F.lit(0).alias("low"), F.col("t").alias("high")),
+                              F.struct(F.lit("next").alias("side"), (F.col("t") + 1).alias("low"), F.lit(MINUTES_PER_DAY - 1).alias("high"))))
+    spans = keys.select(CELL, "t", sides.alias("_s")).select(CELL, "t", "_s.*")
+    return asof.interval_join(series, spans, CELL, "t_ref").select(CELL, "t", "side", "t_ref", "v")
+
+
 def _interp_sql(edge):
     alpha = clip_sql("(t - t_prev) * 1.0 / (t_next - t_prev)", 0.0, 1.0)
     only_next = "v_next" if edge == "nearest" else "NULL"

@@ -2,6 +2,7 @@
 denominators, duplicates, midnight, edges)."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from cellcast.functions import geohash as G
 from cellcast.functions.numeric import clip, nan_to_null
 from cellcast.functions.timekeys import parse_time_tolerant
 from cellcast.operators import aggregates as A
-from cellcast.operators import asof, lags, profile
+from cellcast.operators import asof, blend, lags, profile
 from cellcast.operators.calibration import pair_stats, shrunk_scale
 from cellcast.operators.lookups import ReferenceLookups, mean_by
 from cellcast.sources import files
@@ -195,3 +196,25 @@ def test_pearson_p_value(spark):
     c = math.gamma(19.5) / math.gamma(19) / math.sqrt(math.pi)
     assert r.n == 40 and abs(r.p_value - 2 * c * np.trapezoid(np.cos(a) ** 37, a)) < 1e-8
     assert profile.pearson(df.limit(2), "x", "y").first().p_value is None
+
+
+def test_interval_join_meets_each_pair_once(spark):
+    rng = random.Random(3)
+    points = [(rng.choice("ab") if i % 9 else None, rng.choice([None, rng.randrange(0, 400)]), float(i)) for i in range(300)]
+    spans = [(rng.choice("ab") if i % 7 else None, i, rng.choice([None, rng.randrange(-50, 400)]), rng.randrange(-50, 450)) for i in range(60)]
+    p = spark.createDataFrame(points, "geohash string, t int, v double")
+    s = spark.createDataFrame(spans, "geohash string, id int, low int, high int")
+    want = sorted((c, t, v, i) for c, t, v in points for d, i, lo, hi in spans if c is not None and c == d and t is not None and lo is not None and lo <= t <= hi)
+    for width in (1, 60, 1000):
+        got = asof.interval_join(p, s, width=width)
+        assert sorted((r.geohash, r.t, r.v, r.id) for r in got.collect()) == want
+
+
+def test_alignment_names_the_gaps(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "Index long, demand double")
+    tables = {"a": mk([(1, 0.5), (2, 0.9), (4, None), (5, 0.1), (5, 0.2)]), "b": mk([(1, 0.5), (3, 0.4), (4, 0.3), (5, 0.4), (None, 0.7)])}
+    wide = blend.aligned(tables)
+    got = {r.Index: (r.demand, r.missing) for r in blend.aligned_blend(wide, {"a": 0.5, "b": 0.5}).collect()}
+    assert got[1] == (0.5, "") and got[2] == (None, "b") and got[3] == (None, "a") and got[4] == (None, "") and got[None] == (None, "a")
+    assert abs(got[5][0] - 0.3) < 1e-12 and got[5][1] == ""
+    assert {r.table: (r.present, r.missing, r.repeated) for r in blend.alignment_report(wide, ["a", "b"]).collect()} == {"a": (4, 2, 1), "b": (5, 1, 0)}
