@@ -16,7 +16,7 @@ from cellcast.plans.registry import query
 from cellcast.sources import files
 from cellcast.sources.fixtures import FIXTURE_SQL, Roles, demand_observations
 from cellcast.sources.predictions import PRED_CTES, long_predictions, prediction_tables
-from cellcast.sources.staging import new_path
+from cellcast.sources.staging import new_path, staged
 from cellcast.sources.tables import table_path
 from cellcast.plans.q_calibration import ADD_LEVEL, ADD_VALUE, LOOKUP_CTES, MEMO_X, MULT_VALUE, PAIR_CTES
 from cellcast.plans.sqlparts import rounded, with_roles
@@ -89,7 +89,7 @@ WHERE s.pos >= n.n AND s.pos < 2 * n.n""",
                                   ["demand"]))
 def ordinal_slice(spark, sf_dir):
     r = roles(spark, sf_dir)
-    t = prediction_tables(r)
+    t = {n: staged(p, "predictions") for n, p in prediction_tables(r).items() if n in ("pred_a", "pred_b")}
     a = files.with_ordinal(t["pred_a"], ["Index"])
     n = a.agg(F.count(F.lit(1)).alias("_n"))
     b = files.with_ordinal(t["pred_b"], ["Index"]).crossJoin(F.broadcast(n)) \

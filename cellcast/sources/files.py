@@ -78,34 +78,52 @@ def ensemble_average(preds: DataFrame, key: str = "Index", value: str = "demand"
     return preds.groupBy(key).agg(F.avg(value).alias(value), F.countDistinct(source).alias("n_sources"))
 
 
-# Buckets of the distributed ordinal, and sampled keys for each bound between them.
-ORDINAL_BUCKETS = 64
+# Rows of a bucket of the distributed ordinal, and sampled keys for each bound between buckets.
+ROWS_PER_BUCKET = 100_000
 KEYS_PER_BOUND = 32
 
 
 def _order_bounds(keyed: DataFrame, buckets: int) -> list:
     """At most ``buckets - 1`` key values that cut the rows into about equal parts.
 
-    The keys of least hash are a sample of bounded size; any bounds give right ordinals.
+    The keys of least hash are a sample that partitions merge; any bounds give right ordinals.
     """
+    if buckets < 2:
+        return []
     sample = keyed.select("_k").orderBy(F.xxhash64("_k", F.lit("sample"))).limit(buckets * KEYS_PER_BOUND)
     keys = [r[0] for r in sample.orderBy("_k").collect()]
     return [keys[len(keys) * i // buckets] for i in range(1, buckets)] if keys else []
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "pos", buckets: int = ORDINAL_BUCKETS) -> DataFrame:
+def _not_above(bounds: str, key, size: int):
+    """How many of ``size`` sorted bounds are not above the key, by binary search."""
+    steps = [1 << i for i in reversed(range(size.bit_length()))]
+
+    def step(held, s):
+        reached = held + s
+        return F.when((reached <= size) & (F.get(F.col(bounds), reached - 1) <= key), reached).otherwise(held)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step) if steps else F.lit(0)
+
+
+def _bucketed(df: DataFrame, order: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """``df`` with its sort key ``_k`` and the bucket ``_b`` of that key, about ``rows_per_bucket`` rows each."""
+    keyed = df.withColumn("_k", F.struct(*[F.col(c) for c in order], F.xxhash64(*df.columns).alias("_hash")))
+    values = _order_bounds(keyed, -(-df.count() // rows_per_bucket))
+    bounds = keyed.sparkSession.createDataFrame([(values,)], T.StructType([T.StructField("_bounds", T.ArrayType(keyed.schema["_k"].dataType))]))
+    return keyed.crossJoin(F.broadcast(bounds)).withColumn("_b", _not_above("_bounds", F.col("_k"), len(values))).drop("_bounds")
+
+
+def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "pos", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Consecutive 0-based ordinal in ``order`` without a single-partition window.
 
     The sort key (the order columns, then a hash of the whole row, so ties are split too) is
-    cut at a short list of literal bounds.  A row's bucket follows from its own values alone,
-    so the rows and the counts of earlier buckets (at most ``buckets`` rows, broadcast) always
-    agree, whatever the partitioning.  Rows equal in every column are interchangeable.
+    cut at a list of bounds, as many as the number of rows asks for: a task sorts about
+    ``rows_per_bucket`` rows at any size, and the list holds one key in so many rows.  A row's bucket follows
+    from its own values alone (a binary search), so the rows and the counts of earlier buckets
+    always agree, whatever the partitioning.  Rows equal in every column are interchangeable
+    (and fall into one bucket).
     """
-    keyed = df.withColumn("_k", F.struct(*[F.col(c) for c in order], F.xxhash64(*df.columns).alias("_hash")))
-    kind = keyed.schema["_k"].dataType
-    bounds = keyed.sparkSession.createDataFrame([(_order_bounds(keyed, buckets),)], T.StructType([
-        T.StructField("_bounds", T.ArrayType(kind))]))
-    cut = keyed.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_k")))).drop("_bounds")
+    cut = _bucketed(df, order, rows_per_bucket)
     counts = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_off"))
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy("_k")) - 1)

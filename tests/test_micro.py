@@ -218,3 +218,21 @@ def test_alignment_names_the_gaps(spark):
     assert got[1] == (0.5, "") and got[2] == (None, "b") and got[3] == (None, "a") and got[4] == (None, "") and got[None] == (None, "a")
     assert abs(got[5][0] - 0.3) < 1e-12 and got[5][1] == ""
     assert {r.table: (r.present, r.missing, r.repeated) for r in blend.alignment_report(wide, ["a", "b"]).collect()} == {"a": (4, 2, 1), "b": (5, 1, 0)}
+
+
+@pytest.mark.parametrize("n", [5_000, 100_000])
+def test_ordinal_buckets_follow_the_rows(spark, n):
+    """As many buckets as the rows need, a third of them tied in the order column; ordinals agree with a plain sort."""
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise((F.col("id") * 7919) % 100_003).alias("k"), "id")
+    sizes = [r["count"] for r in files._bucketed(df, ["k"], 1_000).groupBy("_b").count().collect()]
+    assert sum(sizes) == n and len(sizes) >= n / 2_500 and max(sizes) <= 2_500
+    got = files.with_ordinal(df, ["k"], rows_per_bucket=1_000).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(n)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_binary_search_of_bounds(spark):
+    for size in (0, 1, 2, 3, 7, 8, 9):
+        bounds = [10 * i for i in range(1, size + 1)]
+        df = spark.range(-5, 100).select("id", F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>").alias("_bounds"))
+        got = df.select("id", files._not_above("_bounds", F.col("id"), size).alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
