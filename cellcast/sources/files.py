@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -162,3 +163,40 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", partition_by:
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+MANIFEST = "variant string, version string, seq long"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Every version that was ever published; empty where nothing was."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException:
+        return spark.createDataFrame([], MANIFEST)
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """All written rows; names of variants are texts, also those that look like numbers."""
+    found = spark.read.parquet(f"{path}/data").schema
+    named = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("version", "variant") else f for f in found])
+    return spark.read.schema(named).parquet(f"{path}/data")
+
+
+def replace_variants(df: DataFrame, path: str) -> None:
+    """Publish the variants of a long table ``(variant, key, demand)``; other variants at ``path`` stay as they are.
+
+    The rows go into a version of their own, and only when all are written does one append to the manifest
+    name that version for each variant. A run that fails before leaves the old versions in force. One writer at a time.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", "variant").parquet(f"{path}/data")
+    seq = _manifest(spark, path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    written = _versions(spark, path).where(F.col("version") == version).select("variant").distinct()
+    written.select("variant", F.lit(version).alias("version"), F.lit(seq).alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """The published rows of each variant: those of its last version in the manifest."""
+    last = _manifest(spark, path).groupBy("variant").agg(F.max_by("version", "seq").alias("version"))
+    return _versions(spark, path).join(last, ["variant", "version"], "left_semi").drop("version")

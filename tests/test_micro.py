@@ -236,3 +236,19 @@ def test_binary_search_of_bounds(spark):
         df = spark.range(-5, 100).select("id", F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>").alias("_bounds"))
         got = df.select("id", files._not_above("_bounds", F.col("id"), size).alias("n")).collect()
         assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_failed_rewrite_leaves_the_old_variant(spark, tmp_path):
+    path = str(tmp_path / "variants")
+    mk = lambda rows: spark.createDataFrame(rows, "variant string, Index long, demand double")
+    read = lambda: sorted((r.variant, r.Index, r.demand) for r in files.read_variants(spark, path).collect())
+    files.replace_variants(mk([("a", 1, 0.1), ("a", 2, 0.2), ("007", 1, 0.7)]), path)
+    files.replace_variants(mk([("a", 1, 0.5)]), path)
+    assert read() == [("007", 1, 0.7), ("a", 1, 0.5)]
+    # one good variant, then a row that ends the job: what was written of it stays out of sight
+    bad = mk([("007", i, 0.9) for i in range(50)]).withColumn("demand", F.when(F.col("Index") == 49, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("demand")))
+    with pytest.raises(Exception, match="lost"):
+        files.replace_variants(bad.repartition(5, "Index"), path)
+    assert read() == [("007", 1, 0.7), ("a", 1, 0.5)]
+    files.replace_variants(mk([("007", 3, 0.3), ("b", 1, 1.0)]), path)
+    assert read() == [("007", 3, 0.3), ("a", 1, 0.5), ("b", 1, 1.0)]
