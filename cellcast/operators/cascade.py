@@ -103,12 +103,10 @@ def memorize_cascades(ref: DataFrame, cal: DataFrame, rows: DataFrame, lo: float
                      row_key)
 
 
-def interp_cascade(ref: DataFrame, rows: DataFrame, edge: str = "null", prefix_weight: str = "row",
-                   row_key: str = "Index") -> DataFrame:
-    """Uncalibrated base: exact → interpolation → prefix5 → prefix4 → cell → overall."""
+def interp_levels(ref: DataFrame, keys: DataFrame, edge: str = "null", prefix_weight: str = "row") -> DataFrame:
+    """``(cell, t, level, base)`` of distinct keys: exact → interpolation → prefix5 → prefix4 → cell → overall."""
     ref = as_slots(ref)
-    lk = ReferenceLookups(ref)
-    keys = resolve_levels(rows, lk, prefix_weight)
+    keys = resolve_levels(keys, ReferenceLookups(ref), prefix_weight)
     br = asof.interpolate(asof.brackets(keys.select(CELL, "t"), asof.series(ref)), edge=edge)
     k = keys.join(br.select(CELL, "t", "interp"), [CELL, "t"], "left")
     base, level = first_level(
@@ -116,7 +114,13 @@ def interp_cascade(ref: DataFrame, rows: DataFrame, edge: str = "null", prefix_w
          ("prefix5", F.col("prefix5_mean")), ("prefix4", F.col("prefix4_mean")),
          ("geo", F.col("ref_geo"))],
         ("global", F.col("overall_mean")))
-    k = k.select(CELL, "t", level.alias("level"), base.alias("base"))
+    return k.select(CELL, "t", level.alias("level"), base.alias("base"))
+
+
+def interp_cascade(ref: DataFrame, rows: DataFrame, edge: str = "null", prefix_weight: str = "row",
+                   row_key: str = "Index") -> DataFrame:
+    """Uncalibrated base of each row, resolved per key (``interp_levels``)."""
+    k = interp_levels(ref, rows, edge, prefix_weight)
     return (rows.select(row_key, CELL, "t").join(k, [CELL, "t"], "left")
             .select(row_key, CELL, "level", "base"))
 

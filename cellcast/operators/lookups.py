@@ -13,6 +13,7 @@ and the big target table is joined once, on its own keys, to that result.
 
 from __future__ import annotations
 
+import copy
 from functools import reduce
 from typing import Iterable, Sequence
 
@@ -49,16 +50,23 @@ class Slots:
 
     ``rows`` (all), ``n``, ``s``, ``ss`` (count, sum and sum of squares of the values),
     ``mn`` and ``mx``.  Every mean, deviation, extreme, pair moment and baseline comes from
-    this table, so the raw slice is read once however many grains are used.
+    this table, so the raw slice is read once however many grains are used.  With ``by`` columns
+    several slices share one pass and one table; ``slice`` picks one of them.
     """
 
-    def __init__(self, rows: DataFrame, value: str = "demand", cell: str = "geohash"):
-        self.cell, self.value = cell, value
+    def __init__(self, rows: DataFrame, value: str = "demand", cell: str = "geohash", by: Sequence[str] = ()):
+        self.cell, self.value, self.by = cell, value, list(by)
         v = F.col(value)
-        self.table = staged(rows.groupBy(cell, "t", "hour").agg(
+        self.table = staged(rows.groupBy(*by, cell, "t", "hour").agg(
             F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
             F.min(v).alias("mn"), F.max(v).alias("mx")), "slots")
 
+    def slice(self, condition: Column) -> Slots:
+        """The slots that meet a condition on the ``by`` columns, cell, t and hour."""
+        out = copy.copy(self)
+        out.table, out.by = self.table.where(condition).drop(*self.by), []
+        return out
+
 
 def as_slots(x: DataFrame | Slots, value: str = "demand", cell: str = "geohash") -> Slots:
     return x if isinstance(x, Slots) else Slots(x, value, cell)

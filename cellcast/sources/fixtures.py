@@ -67,10 +67,13 @@ class Roles:
     def __init__(self, obs: DataFrame, ref_day: int = REFERENCE_DAY, target_day: int = TARGET_DAY,
                  calibration_last_minute: int = CALIBRATION_LAST_MINUTE):
         self.obs = parse_time_strict(obs)
-        self.ref = self.obs.where(F.col("day") == ref_day)
-        day = self.obs.where(F.col("day") == target_day)
-        self.cal = day.where(F.col("t") <= calibration_last_minute)
-        self.tgt = day.where(F.col("t") > calibration_last_minute).withColumn("Index", F.col("row_id"))
+        on_target = F.col("day") == target_day
+        # conditions of the three roles, on day and t alone
+        self.is_ref = F.col("day") == ref_day
+        self.is_cal = on_target & (F.col("t") <= calibration_last_minute)
+        self.is_tgt = on_target & (F.col("t") > calibration_last_minute)
+        self.ref, self.cal = self.obs.where(self.is_ref), self.obs.where(self.is_cal)
+        self.tgt = self.obs.where(self.is_tgt).withColumn("Index", F.col("row_id"))
 
 
 def roles(spark: SparkSession, sf_dir: str) -> Roles:
