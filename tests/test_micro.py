@@ -12,7 +12,7 @@ from cellcast.functions import geohash as G
 from cellcast.functions.numeric import clip, nan_to_null
 from cellcast.functions.timekeys import parse_time_tolerant
 from cellcast.operators import aggregates as A
-from cellcast.operators import asof, blend, lags, profile
+from cellcast.operators import asof, blend, grids, lags, profile
 from cellcast.operators.calibration import pair_stats, shrunk_scale
 from cellcast.operators.lookups import ReferenceLookups, mean_by
 from cellcast.sources import files
@@ -252,3 +252,42 @@ def test_failed_rewrite_leaves_the_old_variant(spark, tmp_path):
     assert read() == [("007", 1, 0.7), ("a", 1, 0.5)]
     files.replace_variants(mk([("007", 3, 0.3), ("b", 1, 1.0)]), path)
     assert read() == [("007", 3, 0.3), ("a", 1, 0.5), ("b", 1, 1.0)]
+
+
+def test_median_of_a_hot_group(spark):
+    """A third of 3 million distinct values in one cell: brackets are narrowed until 1,000 values are left, in parts of 50,000 rows."""
+    n = 3_000_000
+    ids = np.arange(n)
+    cell, v = np.where(ids % 3 == 0, -1, ids % 7), ((ids * 1_234_577) % 3_000_017) ** 2 / 7.0
+    df = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 7).alias("cell"),
+                                                (F.pow((F.col("id") * 1_234_577) % 3_000_017, 2) / 7.0).alias("v"))
+    got = dict(A.exact_median(df, "v", ["cell"], accuracy=100, ordered_values=1_000, rows_per_part=50_000).collect())
+    assert got == pytest.approx({int(c): float(np.median(v[cell == c])) for c in np.unique(cell)}, rel=1e-12) and len(got) == 8
+
+
+def test_median_passes_end_on_any_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.choice([0.0, 1.0, 2.0], 400)] + [("b", float(x)) for x in rng.random(301)] + [("c", 1.0), ("c", 3.0), ("d", None), (None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = dict(A.exact_median(df, "v", ["k"], accuracy=2, ordered_values=2, cuts=4, rows_per_part=10).collect())
+    want = {k: float(np.median([x for g, x in rows if g == k])) for k in "abc"}
+    assert got == pytest.approx(want)
+    whole = A.exact_median(df, "v", ordered_values=2, cuts=4).collect()
+    assert whole[0][0] == pytest.approx(float(np.median([x for _, x in rows if x is not None])))
+    assert A.exact_median(df.where("k = 'z'"), "v").first()[0] is None and A.exact_median(df.where("k = 'z'"), "v", ["k"]).count() == 0
+
+
+def test_grids_score_every_value_of_a_slot(spark):
+    rows = [("a", 0, 0, 0.2), ("a", 0, 0, 0.9), ("a", 0, 0, None), ("b", 15, 0, 0.4), ("c", 30, 0, None)]
+    tgt = spark.createDataFrame(rows, "geohash string, t int, hour int, demand double")
+    from cellcast.operators.lookups import Slots
+    slots = Slots(tgt).table.select("geohash", "t", "n", "s", "ss", F.when(F.col("geohash") == "a", 0.5).otherwise(0.7).alias("base"))
+    stats = spark.createDataFrame([("a", 2, 0.4, 0.6)], "geohash string, n long, m_ref double, m_cal double")
+    g = spark.createDataFrame([(0.5, 0.6)], "g_ref double, g_cal double")
+    x = grids.with_cell_vectors(slots, stats, g, {"scales": grids.cell_scales([(0.0, 5.0), (2.0, 1.1)]), "offsets": grids.cell_offsets([2.0])})
+    p = F.concat(F.transform("scales", lambda s: F.col("base") * s), F.transform("offsets", lambda o: F.col("base") + o))
+    got = {r.pos: r.rmse for r in grids.rmse_by_position(x, grids.clipped(p), 3).collect()}
+    preds = {"a": [0.5 * 1.5, 0.5 * 1.1, 0.5 + (2 * 0.2 + 2 * 0.1) / 4], "b": [0.7 * 1.2, 0.7 * 1.1, 0.7 + 0.1]}
+    for i in range(3):
+        errors = [(y - preds[c][i]) ** 2 for c, _, _, y in rows if y is not None]
+        assert got[i] == pytest.approx(math.sqrt(sum(errors) / 3))
