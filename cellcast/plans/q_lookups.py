@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cellcast.functions import geohash as G
-from cellcast.functions.timekeys import slot_text
+from cellcast.functions.timekeys import parse_time_strict, slot_text
 from cellcast.operators import lags
 from cellcast.operators.asof import series
 from cellcast.operators.calibration import daily_ratio, overlap_reference, pair_stats
@@ -16,6 +18,9 @@ from cellcast.plans.common import roles
 from cellcast.plans.q_calibration import LOOKUP_CTES
 from cellcast.plans.registry import query
 from cellcast.plans.sqlparts import geohash_neighbor_ctes, geohash_xy_ctes, rounded, with_roles
+from cellcast.sources import stored
+from cellcast.sources.fixtures import CALIBRATION_LAST_MINUTE, REFERENCE_DAY, TARGET_DAY, demand_observations
+from cellcast.sources.staging import new_path
 
 CELL = "geohash"
 
@@ -46,6 +51,17 @@ def lookup_exact(spark, sf_dir):
     return _attach(r, k, ["ref_exact"])
 
 
+@query("stored_lookup", sql=rounded(with_roles(*LOOKUP_CTES) + f'SELECT tgt."Index", ex.v AS ref_exact {JOIN_TGT}',
+                                    ["ref_exact"]))
+def stored_lookup(spark, sf_dir):
+    """The exact lookup on stored observations: partitions pruned by day, buckets joined without a shuffle."""
+    name = f"observations_{uuid.uuid4().hex}"
+    obs = stored.store_observations(parse_time_strict(demand_observations(spark, sf_dir)), name, new_path(spark, "observations"))
+    ref = obs.where(F.col("day") == REFERENCE_DAY)
+    tgt = obs.where((F.col("day") == TARGET_DAY) & (F.col("t") > CALIBRATION_LAST_MINUTE))
+    return stored.colocated_mean(ref, tgt).select(F.col("row_id").alias("Index"), "ref_exact")
+
+
 @query("lookup_geo_hour", sql=rounded(with_roles(*LOOKUP_CTES) + f'SELECT tgt."Index", gh.v AS ref_geo_hour {JOIN_TGT}',
                                       ["ref_geo_hour"]))
 def lookup_geo_hour(spark, sf_dir):

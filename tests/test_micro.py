@@ -15,7 +15,7 @@ from cellcast.operators import aggregates as A
 from cellcast.operators import asof, blend, grids, lags, profile
 from cellcast.operators.calibration import pair_stats, shrunk_scale
 from cellcast.operators.lookups import ReferenceLookups, mean_by
-from cellcast.sources import files
+from cellcast.sources import files, stored
 
 
 def test_nan_mean(spark):
@@ -291,3 +291,25 @@ def test_grids_score_every_value_of_a_slot(spark):
     for i in range(3):
         errors = [(y - preds[c][i]) ** 2 for c, _, _, y in rows if y is not None]
         assert got[i] == pytest.approx(math.sqrt(sum(errors) / 3))
+
+
+def test_stored_observations_prune_and_join_in_place(spark, tmp_path):
+    """A cell with a third of the rows lies in many buckets; the plan prunes days and holds no exchange."""
+    rows = [(i, "hot" if i % 3 == 0 else (f"c{i % 11}" if i % 13 else None), 48 + i % 2, (i * 15) % 1440 if i % 17 else None, float(i % 5) if i % 7 else None) for i in range(6_000)]
+    obs = spark.createDataFrame(rows, "row_id long, geohash string, day int, t int, demand double")
+    kept = stored.store_observations(obs, "observations_test", str(tmp_path / "obs"), buckets=16)
+    assert kept.count() == len(rows) and stored.buckets_for(obs, rows_per_bucket=100) == 30
+    hot = kept.where("geohash = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+    assert hot >= 16
+    ref, tgt = kept.where("day = 48"), kept.where("day = 49 and t > 120")
+    got = stored.colocated_mean(ref, tgt)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 2 and "PartitionFilters: [isnotnull(day" in plan
+    slots = {}
+    for _, c, d, t, v in rows:
+        if d == 48 and c is not None and t is not None and v is not None:
+            slots.setdefault((c, t), []).append(v)
+    want = {i: (float(np.mean(slots[c, t])) if (c, t) in slots else None) for i, c, d, t, _ in rows if d == 49 and t is not None and t > 120}
+    assert {r.row_id: r.ref_exact for r in got.collect()} == pytest.approx(want)
+    assert stored.stored_observations(spark, "observations_test").count() == len(rows)
+    spark.sql("DROP TABLE observations_test")
