@@ -148,6 +148,26 @@ def test_digest_matches_contract(spark, tmp_path):
     assert r[-7].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
 
 
+def test_references_in_texts_are_typed_parts(spark, tmp_path):
+    """Inline references become attachments with their tokens, look-alikes stay text, and every text comes back; Spark and SQL agree."""
+    import duckdb
+    texts = ["see ![a cat](img/cat.png#xywh=0,0,57,28), then ![](b.wav#t=3,5)![d](doc.pdf#page=2)!", "![x](a.jpeg)", "![x](a.exe) ![y](no ext.png) [z](c.png) ![q](d.png",
+             "![a](x.ogg#t=9,2)<|image|>&lt;|audio|>", None, "", "![" * 200_000 + "![e](f.gif)", "![k](p#q.png) ![k](p.q.webp#)", "plain é words 12"]
+    rows = [(c, i, ("user", "assistant", None)[(c + i) % 3], t) for c in range(3) for i, t in enumerate(texts)] + [(1, 0, "user", "![m](n.png)"), (1, 0, "user", "![o](n.png)")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat_parts.run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({chat_parts.ORACLE_SQL}) ORDER BY conv_id").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == want
+    one = {r.conv_id: r for r in got.collect()}[0]
+    assert one.n_attachments == 7 and one.attachment_refs.split("\n") == ["img/cat.png", "b.wav", "doc.pdf", "a.jpeg", "x.ogg", "f.gif", "p.q.webp"]
+    assert one.attachment_tokens == 3 + 50 + 256 + 256 + 750 + 256 + 256
+    said = [t or "" for i, t in enumerate(texts) if i % 3 == 1]
+    assert one.loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest() and one.loss_chars == sum(map(len, said))
+
+
 def kept_by_stage(spark, rows):
     return sorted(r.doc_id for r in secret_scan.without_live(docs(spark, rows)).collect())
 
