@@ -10,11 +10,17 @@ adds), gzipped, at most ``FILE_RECORDS`` a file, so every file has a proven size
 segments of one record are brought together by their origin identifier, ordered by segment
 number and checked: numbers without a gap, and the sum of lengths equal to the
 total that the last segment states.  Then the HTTP head is cut off and the chunked framing decoded.
+Archives of other writers are read as well: header names in any case, values with or without a blank,
+folded lines, SHA-1 digests in base 32 or hexadecimal, of the body as sent or as decoded.  ``Page-Id`` and
+``Refers-To-Page`` are headers of this writer; other archives have ``record``, ``uri`` and ``refers_record``.
 
 Defined results: null html is an empty payload, null url a ``urn:page`` target; a null
 page_id cannot be referred to, but can revisit; repeated rows with the largest page_id of
 their group are all responses; an incomplete record has null payload and ``complete`` false;
-an empty table gives an empty archive and result; other columns are ignored.
+an empty table gives an empty archive and result; other columns are ignored.  Records that are
+neither response, revisit nor continuation are skipped, as are those without a type, an id or a length in digits; a
+record that the end of its file cuts off is incomplete, and of a damaged gzip file the readable front is read.
+A response without a SHA-1 digest is complete if its framing is; its digest is that of its payload, a revisit's is null.
 """
 
 from __future__ import annotations
@@ -22,8 +28,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,30 +135,73 @@ def write_archive(pages: DataFrame, path: str) -> None:
         "compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-READ = "origin string, type string, segment int, total long, page_id long, digest string, refers long, block binary"
+READ = ("origin string, type string, segment int, total long, page_id long, digest string, refers long, uri string, refers_record string, "
+        "cut boolean, block binary")
 READ_SCHEMA = pa.schema([("origin", pa.string()), ("type", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()),
-                         ("digest", pa.string()), ("refers", pa.int64()), ("block", pa.binary())])
+                         ("digest", pa.string()), ("refers", pa.int64()), ("uri", pa.string()), ("refers_record", pa.string()),
+                         ("cut", pa.bool_()), ("block", pa.binary())])
+READ_TYPES = ("response", "revisit", "continuation")
+
+
+def headers(lines: list[str]) -> dict[str, str]:
+    """Header values by lower-case name; the first of a name counts, a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            if name is not None:
+                out[name] += " " + line.strip()
+            continue
+        key, colon, value = line.partition(":")
+        name = key.strip().lower() if colon and key.strip().lower() not in out else None
+        if name is not None:
+            out[name] = value.strip()
+    return out
+
+
+def _digits(text: str | None, most: int) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"[0-9]{1,%d}" % most, text) else None
 
 
 def parse(data: bytes) -> Iterator[tuple]:
     """The records of one file, cut by their Content-Length."""
     at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        n = int(fields["Content-Length"])
-        block = data[end + 4:end + 4 + n]
-        at = end + 4 + n
-        num = lambda k: int(fields[k]) if k in fields else None
-        yield (fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), fields["WARC-Type"], num("WARC-Segment-Number"),
-               num("WARC-Segment-Total-Length"), num("Page-Id"), fields.get("WARC-Payload-Digest"), num("Refers-To-Page"), block)
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        fields = headers(data[at:end].decode(errors="replace").split("\r\n")[1:])
+        n = _digits(fields.get("content-length"), 18)
+        at = end + 4
+        if n is None:
+            continue
+        block = data[at:at + n]
+        at += n
+        kind, record = fields.get("warc-type", "").lower(), fields.get("warc-record-id")
+        if kind not in READ_TYPES or record is None:
+            continue
+        page, refers = (int(v) if (v := fields.get(k)) and re.fullmatch(r"-?[0-9]{1,18}", v) else None for k in ("page-id", "refers-to-page"))
+        yield (fields.get("warc-segment-origin-id", record), kind, _digits(fields.get("warc-segment-number"), 9), _digits(fields.get("warc-segment-total-length"), 18),
+               page, fields.get("warc-payload-digest"), refers, fields.get("warc-target-uri"), fields.get("warc-refers-to"), len(block) < n, block)
+
+
+def inflate(content: bytes) -> bytes:
+    """The content of a gzip file, or as much of it as can be read."""
+    out = []
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
+        try:
+            while piece := f.read(1 << 20):
+                out.append(piece)
+        except (OSError, EOFError, zlib.error):
+            pass
+    return b"".join(out)
 
 
 def _read(batches):
     for b in batches:
         for content in b.column("content").to_pylist():
             rows, size = [], 0
-            for r in parse(gzip.decompress(content)):
+            for r in parse(inflate(content)):
                 rows.append(r)
                 size += len(r[-1])
                 if size > 1 << 23:
@@ -165,27 +216,55 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, READ)
 
 
-DONE = "page_id long, type string, digest string, refers long, segments int, complete boolean, payload binary"
-DONE_SCHEMA = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("digest", pa.string()), ("refers", pa.int64()), ("segments", pa.int32()),
+DONE = ("page_id long, type string, digest string, refers long, record string, uri string, refers_record string, segments int, "
+        "complete boolean, payload binary")
+DONE_SCHEMA = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("digest", pa.string()), ("refers", pa.int64()), ("record", pa.string()),
+                         ("uri", pa.string()), ("refers_record", pa.string()), ("segments", pa.int32()),
                          ("complete", pa.bool_()), ("payload", pa.binary())])
 
 
+def sha1_hex(stated: str | None) -> str | None:
+    """A stated SHA-1 digest in lower-case hexadecimal; None for other algorithms and forms."""
+    algorithm, _, value = (stated or "").partition(":")
+    if algorithm.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
+def payload_of(block: bytes, stated: str | None) -> tuple[bytes | None, str | None]:
+    """(payload, its digest) of a response's block; None where neither the decoded nor the sent body is what the digest states."""
+    if not block.startswith(b"HTTP/"):
+        bodies = [block]
+    else:
+        head, _, body = block.partition(b"\r\n\r\n")
+        sent_chunked = re.search(rb"(?im)^transfer-encoding:[ \t]*chunked[ \t]*\r?$", head)
+        bodies = [b for b in ((dechunked(body), body) if sent_chunked else (body,)) if b is not None]
+        if sent_chunked and stated is None and len(bodies) == 1:
+            return None, None           # broken framing, and nothing else to go by
+    for b in bodies:
+        digest = hashlib.sha1(b).hexdigest()
+        if stated is None or digest == stated:
+            return bodies[0], hashlib.sha1(bodies[0]).hexdigest()
+    return None, stated
+
+
 def assemble(parts: list[dict]) -> tuple | None:
     """One record from its segments in order; None where the origin itself is missing."""
     first = parts[0]
     if first["type"] == "continuation":
         return None
     block = b"".join(p["block"] for p in parts)
-    whole = [p["segment"] or 1 for p in parts] == list(range(1, len(parts) + 1))
+    whole = [p["segment"] or 1 for p in parts] == list(range(1, len(parts) + 1)) and not any(p["cut"] for p in parts)
     if len(parts) > 1 or parts[-1]["total"] is not None:
         whole = whole and parts[-1]["total"] == len(block)
-    payload = None
+    payload, digest = None, sha1_hex(first["digest"])
     if first["type"] == "response":
-        head, _, body = block.partition(b"\r\n\r\n")
-        payload = (dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body) if whole else None
-        whole = payload is not None and "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() == first["digest"]
-    digest = base64.b32decode(first["digest"][5:]).hex()
-    return first["page_id"], first["type"], digest, first["refers"], len(parts), whole, payload if whole else None
+        payload, digest = payload_of(block, digest) if whole else (None, digest)
+        whole = payload is not None
+    return (first["page_id"], first["type"], digest, first["refers"], first["origin"], first["uri"], first["refers_record"], len(parts), whole, payload)
 
 
 def _assemble(batches):

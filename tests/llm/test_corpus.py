@@ -1,6 +1,7 @@
 """Joins, scans, archives and models against brute force on small fixtures."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -260,6 +261,39 @@ def test_warc(spark, tmp_path):
     assert warc_segments.reassemble(warc_segments.read_records(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Other record types, header styles and digests; records without a length, cut off or with a wrong digest."""
+    def record(kind, name, block, *more, length=None, style="{}: {}", id_too=True):
+        lines = [("WARC-Type", kind), *([("WARC-Record-ID", f"<{name}>")] if id_too else []), *more, ("Content-Length", len(block) if length is None else length)]
+        return "WARC/1.0\r\n".encode() + "".join(style.format(k, v) + "\r\n" for k, v in lines).encode() + b"\r\n" + block + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    chunky = b"HTTP/1.1 200 OK\r\ntransfer-encoding:chunked\r\n\r\n"
+    hexed = lambda x: "sha1:" + hashlib.sha1(x).hexdigest().upper()
+    first = b"".join([
+        record("warcinfo", "i", b"software: x\r\n"), record("request", "q", b"GET / HTTP/1.1\r\n\r\n"), record("metadata", "m", b""),
+        record("response", "a", http + b"plain", ("WARC-Target-URI", "http://a/")),
+        record("response", "b", chunky + b"3\r\nabc\r\n0\r\n\r\n", ("WARC-Payload-Digest", hexed(b"abc")), style="{}:{}"),
+        record("response", "c", chunky + b"3\r\nabc\r\n0\r\n\r\n", ("WARC-Payload-Digest", hexed(b"3\r\nabc\r\n0\r\n\r\n"))),
+        record("response", "d", chunky + b"decoded before", ("WARC-Payload-Digest", hexed(b"decoded before"))),
+        record("response", "e", http + b"other", ("WARC-Payload-Digest", hexed(b"x"))), record("response", "f", chunky + b"broken"),
+        record("response", "g", b"1.2.3.4", ("WARC-Payload-Digest", "sha256:00"), ("X-Long", "one\r\n two"), ("Page-Id", "seven")),
+        record("revisit", "r", b"HTTP/1.1 304\r\n\r\n", ("WARC-Refers-To", "<a>")), record("response", "n", http, length="many"),
+        record("response", "o", http + b"x", id_too=False),
+        record("response", "s", http + b"one ", ("warc-segment-number", 1)).replace(b"WARC-Type", b"warc-type").replace(b"Content-Length", b"content-length"),
+        record("continuation", "t", b"two", ("WARC-Segment-Number", 2), ("WARC-Segment-Origin-ID", "<s>"), ("WARC-Segment-Total-Length", len(http) + 7)),
+        record("continuation", "u", b"lost", ("WARC-Segment-Number", 2), ("WARC-Segment-Origin-ID", "<gone>")),
+        record("response", "z", http + b"cut", length=10_000)])
+    os.makedirs(tmp_path / "w")
+    for name, data in (("one", gzip.compress(first)), ("two", gzip.compress(record("response", "y", http + b"y" * 50) + os.urandom(3 << 20))[:2 << 20]), ("none", gzip.compress(b""))):
+        (tmp_path / "w" / f"{name}.warc.gz").write_bytes(data)
+    got = {x.record.strip("<>"): x for x in warc_segments.reassemble(warc_segments.read_records(spark, str(tmp_path / "w"))).collect()}
+    assert {k: x.payload and bytes(x.payload) for k, x in got.items()} == {
+        "a": b"plain", "b": b"abc", "c": b"abc", "d": b"decoded before", "e": None, "f": None, "g": b"1.2.3.4", "r": None, "s": b"one two", "y": b"y" * 50, "z": None}
+    assert {k for k, x in got.items() if not x.complete} == {"e", "f", "z"}
+    assert got["a"].uri == "http://a/" and got["a"].digest == hashlib.sha1(b"plain").hexdigest() and got["g"].page_id is None
+    assert (got["r"].refers_record, got["r"].digest, got["s"].segments) == ("<a>", None, 2)
+
+
 def test_chunked_framing():
     for p in (b"", b"x", b"\r\n0\r\n\r\n" * 999, os.urandom(5000)):
         assert warc_segments.dechunked(warc_segments.chunked(p)) == p
