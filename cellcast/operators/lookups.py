@@ -131,6 +131,18 @@ class ReferenceLookups:
         return self.base.agg(self._mean().alias(name))
 
 
+def attach_by_cell(rows: DataFrame, per_cell: DataFrame, cell: str = "geohash", slot: str = "t", how: str = "left",
+                   keys: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to a table of one row per cell, through the (cell, slot) keys.
+
+    The cell table meets the distinct keys (``keys``, or those of the rows), and the rows are joined on both
+    columns, so a cell with a third of all rows is spread over its slots.  A null slot is a slot of its own.
+    """
+    at = F.coalesce(F.col(slot), F.lit(-1)).alias("_slot")
+    resolved = (rows if keys is None else keys).select(cell, at).distinct().join(per_cell, [cell], how)
+    return rows.withColumn("_slot", at).join(resolved, [cell, "_slot"], how).drop("_slot")
+
+
 def with_prefix_columns(df: DataFrame, cell: str = "geohash", sizes=(5, 4, 3)) -> DataFrame:
     for n in sizes:
         df = df.withColumn(f"prefix{n}", gh_prefix(cell, n))

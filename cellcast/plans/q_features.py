@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellcast.functions.timekeys import with_cyclical, with_time_flags
 from cellcast.operators import features as FT
-from cellcast.operators.lookups import Slots
+from cellcast.operators.lookups import Slots, attach_by_cell
 from cellcast.plans.common import roles
 from cellcast.plans.q_calibration import LOOKUP_CTES
 from cellcast.plans.q_lookups import NEIGHBOR_SQL
@@ -46,7 +46,7 @@ SELECT tgt."Index", ln(1 + coalesce(cnt.c, 0)) AS geohash_count FROM tgt LEFT JO
 def log_frequency(spark, sf_dir):
     r = roles(spark, sf_dir)
     count = FT.cell_frequency(Slots(r.ref), Slots(r.cal))
-    return r.tgt.select("Index", "geohash").join(count, ["geohash"], "left").select(
+    return attach_by_cell(r.tgt.select("Index", "geohash", "t"), count).select(
         "Index", F.coalesce("geohash_count", F.lit(0.0)).alias("geohash_count"))
 
 

@@ -12,7 +12,7 @@ from cellcast.operators import lags
 from cellcast.operators.asof import series
 from cellcast.operators.calibration import daily_ratio, overlap_reference, pair_stats
 from cellcast.operators.cascade import resolve_levels
-from cellcast.operators.lookups import ReferenceLookups, mean_by
+from cellcast.operators.lookups import ReferenceLookups, Slots, attach_by_cell, mean_by
 from cellcast.operators.neighbors import neighbor_mean
 from cellcast.plans.common import roles
 from cellcast.plans.q_calibration import LOOKUP_CTES
@@ -210,11 +210,12 @@ FROM ref JOIN s ON s.geohash = ref.geohash""", ["geo_mean", "geo_mean_loo"]))
 def self_lookup_loo(spark, sf_dir):
     """Cell mean of the reference rows themselves, with and without the row's own value."""
     r = roles(spark, sf_dir)
-    s = r.ref.groupBy(CELL).agg(F.sum("demand").alias("_s"), F.count("demand").alias("_n"))
+    slots = Slots(r.ref).table
+    s = slots.groupBy(CELL).agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"))
     mean = F.try_divide(F.col("_s"), F.when(F.col("_n") > 0, F.col("_n")))
     loo = (F.when(F.col("demand").isNull(), mean)
            .when(F.col("_n") > 1, (F.col("_s") - F.col("demand")) / (F.col("_n") - 1)))
-    return r.ref.join(s, [CELL]).select("row_id", mean.alias("geo_mean"), loo.alias("geo_mean_loo"))
+    return attach_by_cell(r.ref, s, how="inner", keys=slots).select("row_id", mean.alias("geo_mean"), loo.alias("geo_mean_loo"))
 
 
 @query("geohash_decode", sql=rounded(with_roles(*geohash_xy_ctes("obs")) + """

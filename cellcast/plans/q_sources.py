@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellcast.functions.geohash import with_prefixes
 from cellcast.functions import timekeys
 from cellcast.operators.aggregates import exact_median
+from cellcast.operators.lookups import attach_by_cell
 from cellcast.operators.cascade import memorize_cascades
 from cellcast.operators.lookups import ReferenceLookups
 from cellcast.plans.common import roles
@@ -186,8 +187,7 @@ def empty_reference(spark, sf_dir):
     r = roles(spark, sf_dir)
     emp = r.obs.where(F.col("day") == 46).groupBy("geohash").agg(F.avg("demand").alias("ref_geo"),
                                                                  F.count(F.lit(1)).alias("_n"))
-    return r.tgt.join(emp, ["geohash"], "left").select("Index", "ref_geo",
-                                                       F.coalesce(F.col("_n"), F.lit(0)).alias("ref_n"))
+    return attach_by_cell(r.tgt.select("Index", "geohash", "t"), emp).select("Index", "ref_geo", F.coalesce(F.col("_n"), F.lit(0)).alias("ref_n"))
 
 
 @query("impute_constants", sql=rounded(with_roles() + """

@@ -14,7 +14,7 @@ from cellcast.functions.timekeys import parse_time_tolerant
 from cellcast.operators import aggregates as A
 from cellcast.operators import asof, blend, grids, lags, profile
 from cellcast.operators.calibration import pair_stats, shrunk_scale
-from cellcast.operators.lookups import ReferenceLookups, mean_by
+from cellcast.operators.lookups import ReferenceLookups, attach_by_cell, mean_by
 from cellcast.sources import files, stored
 
 
@@ -313,3 +313,12 @@ def test_stored_observations_prune_and_join_in_place(spark, tmp_path):
     assert {r.row_id: r.ref_exact for r in got.collect()} == pytest.approx(want)
     assert stored.stored_observations(spark, "observations_test").count() == len(rows)
     spark.sql("DROP TABLE observations_test")
+
+
+def test_rows_meet_cells_through_slots(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (2, "a", 15), (3, "a", None), (4, None, 0), (5, "b", 0), (1, "a", 0)], "id long, geohash string, t int")
+    cells = spark.createDataFrame([("a", 7.0), (None, 1.0), ("z", 2.0)], "geohash string, v double")
+    got = sorted((r.id, r.v) for r in attach_by_cell(rows, cells).collect())
+    assert got == [(1, 7.0), (1, 7.0), (2, 7.0), (3, 7.0), (4, None), (5, None)]
+    assert sorted(r.id for r in attach_by_cell(rows, cells, how="inner", keys=rows.where("t is not null or id = 3")).collect()) == [1, 1, 2, 3]
+    assert attach_by_cell(rows, cells).columns == ["geohash", "id", "t", "v"]
