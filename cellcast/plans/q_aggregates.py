@@ -162,8 +162,7 @@ def distinct_profile(spark, sf_dir):
     u = (r.ref.select(F.lit("reference").alias("role"), "geohash", "timestamp")
          .unionByName(r.cal.select(F.lit("calibration").alias("role"), "geohash", "timestamp"))
          .unionByName(r.tgt.select(F.lit("target").alias("role"), "geohash", "timestamp")))
-    return u.groupBy("role").agg(F.count_distinct("geohash").alias("n_cells"),
-                                 F.count_distinct("timestamp").alias("n_slots"))
+    return agg.distinct_counts(u, {"n_cells": "geohash", "n_slots": "timestamp"}, ["role"])
 
 
 @query("target_geo_mean", sql=rounded(with_roles() + """

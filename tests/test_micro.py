@@ -322,3 +322,17 @@ def test_rows_meet_cells_through_slots(spark):
     assert got == [(1, 7.0), (1, 7.0), (2, 7.0), (3, 7.0), (4, None), (5, None)]
     assert sorted(r.id for r in attach_by_cell(rows, cells, how="inner", keys=rows.where("t is not null or id = 3")).collect()) == [1, 1, 2, 3]
     assert attach_by_cell(rows, cells).columns == ["geohash", "id", "t", "v"]
+
+
+def test_approximate_options_stay_within_their_error(spark):
+    n = 40_000
+    df = spark.range(n).select(F.when(F.col("id") % 4 == 3, None).otherwise(F.col("id") % 2).alias("geohash"), ((F.col("id") * 7919) % n).cast("double").alias("demand"),
+                               (F.col("id") % 96 * 15).cast("int").alias("t"), F.lit(0).alias("hour")).withColumn("geohash", F.col("geohash").cast("string"))
+    rows = [(r.geohash, r.demand) for r in df.collect()]
+    exact, close = ({r.geohash: r.geo_median for r in A.cell_stats(df, median_error=e).collect()} for e in (None, 0.01))
+    for c in ("0", "1"):
+        values = np.sort([v for g, v in rows if g == c])
+        assert exact[c] == np.median(values) and abs(np.searchsorted(values, close[c]) / len(values) - 0.5) <= 0.011
+    assert set(close) == {"0", "1"}
+    got = A.distinct_counts(df, {"n": "demand"}, relative_error=0.02).first().n
+    assert A.distinct_counts(df, {"n": "demand"}).first().n == n and abs(got / n - 1) < 0.1
