@@ -243,15 +243,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     held = graph.by_cell(held.join(classes.select("cid", "dim", "raw"), "cid"))
     comp = store.save_small(graph.components(held.mapInArrow(_verified(kind, threshold), "a long, b long"), "caps"), "caps-components")
 
-    sized = comp.groupBy("component").agg(F.count("*").alias("m"))
-    member = comp.join(sized, "component").withColumnRenamed("node", "cid").join(classes.select("cid", "dim", "raw", "copies"), "cid")
+    sized = graph.beside(comp, "component", "node", comp.count(), m=(F.count("*"), F.sum))
+    member = sized.withColumnRenamed("node", "cid").join(classes.select("cid", "dim", "raw", "copies"), "cid")
     cells = graph.by_cell(graph.cells(member, "component", "cid", "m", BLOCK).drop("component"))
     links = cells.mapInArrow(_counted(kind, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
     per = classes.select("cid", "k1", "k2", "first", "copies").join(links, "cid", "left").join(
         comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = per.groupBy("component").agg(F.min("first").alias("least"))
-    per = store.save_small(per.join(least, "component").select("k1", "k2", F.col("least.vec_id").alias("component_id"), (
+    per = store.save_small(graph.beside(per, "component", "cid", classes.count(), least=(F.min("first"), F.min)).select("k1", "k2", F.col("least.vec_id").alias("component_id"), (
         F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")), "caps-per")
     linked = signed.where("dim > 0").select("vec_id", "k1", "k2").join(per, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = signed.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -5,21 +5,43 @@ row is sent to every cell (i, j) of its block's row and column.  Each pair of ro
 exactly one cell, a task holds two blocks, and a hot group is only more cells.
 
 *Components.*  Alternating large-star and small-star rounds over an edge table.  Each round
-is a grouped minimum (pre-aggregated before the shuffle) and a join, and is written to the
-shared folder, so neither links nor labels ever pass through the driver.
+is a grouped minimum and a join, and is written to the shared folder, so neither links nor
+labels ever pass through the driver.
+
+*Hubs.*  What a key's rows have in common is brought back to them by (key, part): the rows of
+a key are dealt by hash into parts, so a node with a third of all edges, or a component with
+a third of all nodes, is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.llm import store
 
+PART_ROWS = 100_000   # rows of one key that lie together in a join, about
+PARTS = 32            # parts of a key, at least
+
+
+def beside(rows: DataFrame, key: str, other: str, n: int, **values: tuple[Column, Callable[[str], Column]]) -> DataFrame:
+    """``rows`` with values over all rows of each key, without a task that holds a whole key.
+
+    ``other`` deals a key's rows into parts, and ``n`` is about the number of rows.  A value is
+    given by its aggregate over the rows of a part and the function that merges those of the parts.
+    Rows whose key is null are left out, as by any join.
+    """
+    (part,) = store.fresh(rows, "part")
+    parts = max(PARTS, -(-n // PART_ROWS))
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(F.lit("part"), other), F.lit(parts)).cast("int")).repartition(key, part)
+    per = dealt.groupBy(key, part).agg(*[first.alias(name) for name, (first, _) in values.items()])
+    whole = per.groupBy(key).agg(F.collect_list(part).alias(part), *[merge(name).alias(name) for name, (_, merge) in values.items()])
+    return dealt.join(whole.withColumn(part, F.explode(part)), [key, part]).drop(part)
+
 
 def cells(rows: DataFrame, group: str, row_id: str, count: str, size: int) -> DataFrame:
     """Rows with their cell: columns g (group), i, j (blocks) and the row's own block b."""
@@ -83,17 +105,17 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """edges: a, b (long).  Returns node, component (the smallest node reachable); only nodes with an edge.
 
     A large-star round joins every neighbour that is larger than a node to the smallest one
-    around it; the node may be a hub, so that is a pre-aggregated minimum and a join, which
-    Spark can split.  A small-star round does the same for a node's smaller neighbours, which
-    are few after a large-star.  It ends when every node hangs on one root that hangs on none.
+    around it, a small-star round a node's smaller neighbours.  In both the node may be a hub,
+    whose edges meet their minimum in parts.  It ends when every node hangs on one root that
+    hangs on none.
     """
     e = store.save_small(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-edges")
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", m.alias("m")).select(F.explode(F.array(
+        n = 2 * e.count()
+        large = beside(both, "u", "v", n, m=(F.min("v"), F.min)).withColumn("m", F.least("u", "m"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = beside(large, "u", "v", n, m=(F.min("v"), F.min)).select(F.explode(F.array(
             F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = store.save_small(small.where("u <> v").distinct(), f"{label}-round")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -236,8 +236,8 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
     cand = graph.by_cell(held.select("g", "i", "j", "b", "cid", "sig")).mapInArrow(_candidates(least), "a long, b long")
     comp = store.save_small(graph.components(cand, "jaccard-candidates"), "jaccard-components")
 
-    sized = comp.groupBy("component").agg(F.count("*").alias("m"))
-    wanted = store.save_small(comp.join(sized, "component").join(classes.select(
+    sized = graph.beside(comp, "component", "node", comp.count(), m=(F.count("*"), F.sum))
+    wanted = store.save_small(sized.join(classes.select(
         F.col("cid").alias("node"), "copies", "sig", "first.t1", "first.t2", "first.doc_id"), "node"), "jaccard-wanted")
     row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
     texts = _keyed(docs).select("t1", "t2", row, "text").mapInArrow(_pack, PACKED)
@@ -252,8 +252,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
     per = classes.select("cid", "k1", "k2", "first", "copies").join(
         links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(
         groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least_id = per.groupBy("component").agg(F.min("first").alias("least"))
-    per = store.save_small(per.join(least_id, "component").select(
+    per = store.save_small(graph.beside(per, "component", "cid", classes.count(), least=(F.min("first"), F.min)).select(
         "k1", "k2", F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("least")), "jaccard-per")
     cols = ["doc_id", "t1", "t2", "class_id", "n_links", "component_id", "kept"]

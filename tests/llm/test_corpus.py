@@ -103,6 +103,25 @@ def test_components_of_hubs_and_chains(spark):
     assert all(got[i] == 0 for i in (*range(300), *range(1000, 1201))) and got[8001] == 8000 and 5000 not in got
 
 
+def test_values_beside_rows_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_ROWS", 50)
+    rows = [(0, i) for i in range(2000)] + [(i, -i) for i in range(1, 500)] + [(None, 7), (3, None), (3, -3)]
+    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "k long, v long, part string")
+    got = graph.beside(df, "k", "v", len(rows), m=(F.min("v"), F.min), c=(F.count("*"), F.sum))
+    least, count = defaultdict(list), Counter(k for k, _ in rows)
+    for k, v in rows:
+        least[k].append(v)
+    want = [(k, v, "x", min(x for x in least[k] if x is not None), count[k]) for k, v in rows if k is not None]
+    key = lambda r: tuple(str(x) for x in r)      # noqa: E731
+    assert sorted((tuple(r) for r in got.select("k", "v", "part", "m", "c").collect()), key=key) == sorted(want, key=key)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:                                          # the hot key is in several tasks
+        assert len(got.where("k = 0").groupBy(F.spark_partition_id()).count().collect()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert graph.beside(df.limit(0), "k", "v", 0, m=(F.min("v"), F.min)).count() == 0
+
+
 def test_caps(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 24))
