@@ -8,7 +8,8 @@
    Inside a bucket, dealt in bounded blocks, pairs whose short signatures agree too rarely
    are left out (five standard deviations below the threshold), and a spanning forest of the
    others is emitted, so the number of edges is linear in the rows.
-3. Classes of one candidate component meet again, in blocks, with their full sets.  Each pair
+3. Classes of one candidate component meet again, in blocks bounded by rows and, for long
+   texts, by shingles (about; one text is never cut), with their full sets.  Each pair
    that the signatures allow is verified exactly; the result is a link count per class and a
    forest of verified links, whose connected components are the groups.
 
@@ -40,6 +41,7 @@ QUERY = "op5_ngram_jaccard"
 ORACLE_SQL = None     # tested against all pairs on small fixtures
 
 BLOCK = 256           # rows of a block; a task holds two
+BLOCK_GRAMS = 1 << 22  # shingles of a block, about: components of long texts have smaller blocks
 BUCKET_BLOCK = 1024
 
 
@@ -225,7 +227,7 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
         "rid", F.monotonically_increasing_id()), "jaccard-signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "t1", "t2"))
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(
-        first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = store.save(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
     met = classes.select("cid", F.explode(F.array_distinct("bands")).alias("bucket"))
@@ -236,9 +238,11 @@ def join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.
     cand = graph.by_cell(held.select("g", "i", "j", "b", "cid", "sig")).mapInArrow(_candidates(least), "a long, b long")
     comp = store.save_small(graph.components(cand, "jaccard-candidates"), "jaccard-components")
 
-    sized = graph.beside(comp, "component", "node", comp.count(), m=(F.count("*"), F.sum))
-    wanted = store.save_small(sized.join(classes.select(
-        F.col("cid").alias("node"), "copies", "sig", "first.t1", "first.t2", "first.doc_id"), "node"), "jaccard-wanted")
+    member = comp.join(classes.select(F.col("cid").alias("node"), "copies", "n", "sig", "first.t1", "first.t2", "first.doc_id"), "node")
+    sized = graph.beside(member, "component", "node", comp.count(), m=(F.count("*"), F.sum), total=(F.sum("n"), F.sum))
+    by_size = F.ceil(F.col("total") * BLOCK / BLOCK_GRAMS)
+    wanted = store.save_small(sized.withColumn("m", F.greatest("m", by_size)).drop("n", "total"), "jaccard-wanted")
+
     row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
     texts = _keyed(docs).select("t1", "t2", row, "text").mapInArrow(_pack, PACKED)
     texts = texts.join(wanted.select("t1", "t2", row).hint("merge"), ["t1", "t2", "row"], "left_semi")

@@ -70,7 +70,8 @@ def near_copies():
     return [(i, t) for i, t in enumerate(rows)] + [(3, rows[3])] * 2 + [(None, rows[0]), (None, None)]
 
 
-def test_jaccard(spark):
+def test_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 3000)     # blocks of a few long texts
     rows = near_copies()
     got = ngram_join.join(docs(spark, rows).repartition(3)).collect()
     sets = [shingle_set(t) for _, t in rows]
